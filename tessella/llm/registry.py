@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, near_dedup, url_filter
+from . import chat_format, exact_dedup, near_dedup, packing, secrets, url_filter
 from .common import table
 
 _ROOT = Path(__file__).resolve().parents[2]
@@ -49,11 +49,19 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op6_chat, op7_urls, op8_exact_dedup, op10_near_dedup)}
+_QUERIES = {f.__name__: f for f in (op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
 
 
 def _shipped(f):
