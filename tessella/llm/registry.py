@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, near_dedup, packing, secrets, url_filter
+from . import chat_format, exact_dedup, near_dedup, packing, quality, secrets, toxicity, url_filter
 from .common import table
+from .sampling import fold
 
 _ROOT = Path(__file__).resolve().parents[2]
 
@@ -49,6 +50,22 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _judged(scored, folds, held, threshold, *more):
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
+
+
+def op3_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    return _judged(quality.score(docs, model), 4, 2, 0.7)
+
+
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    return _judged(toxicity.score(docs, model), 5, 0, 0.5, F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -61,7 +78,7 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
+_QUERIES = {f.__name__: f for f in (op3_quality, op4_toxicity, op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
 
 
 def _shipped(f):

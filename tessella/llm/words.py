@@ -77,7 +77,7 @@ def words(text: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> t
     inside = ~apart
     starts = np.flatnonzero(inside & before[:n])
     ends = np.flatnonzero(inside & after[1:]) + 1
-    rows = np.searchsorted(offsets, starts, "right") - 1
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     return starts, ends, rows, _fingerprints(text, starts, ends)
 
 
@@ -96,6 +96,18 @@ def _fingerprints(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return out
 
 
+def prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """The words' first bytes (at most 7, A-Z folded) as numbers, for each of ``lengths`` in rising order."""
+    out, key, last = [], np.zeros(len(starts), np.uint64), max(len(text) - 1, 0)
+    for k in range(lengths[-1]):
+        at = starts + k
+        here = np.where(at < ends, _LOWER[text[np.minimum(at, last)]], 0) if len(text) else at
+        key = key | (here.astype(np.uint64) << np.uint64(8 * k))
+        if k + 1 in lengths:
+            out.append(key | np.uint64(k + 1) << np.uint64(56))
+    return out
+
+
 def shingles(rows: np.ndarray, prints: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints of runs of ``width`` words, row bounds and word bounds.
 
