@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, near_dedup, packing, quality, secrets, toxicity, url_filter
+from . import chat_format, exact_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity, url_filter
 from .common import table
 from .sampling import fold
 
@@ -54,6 +54,10 @@ def _judged(scored, folds, held, threshold, *more):
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op3_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, fold(F.col("doc_id"), 4) != 2)
@@ -78,7 +82,7 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op3_quality, op4_toxicity, op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_toxicity, op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
 
 
 def _shipped(f):
