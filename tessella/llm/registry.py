@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity, url_filter
+from . import chat_format, decontamination, exact_dedup, near_dedup, packing, quality, secrets, suffix_dedup, toxicity, url_filter
 from .common import table
 from .sampling import fold
 
@@ -50,6 +50,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _judged(scored, folds, held, threshold, *more):
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
@@ -82,7 +86,7 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_quality, op4_toxicity, op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_quality, op4_toxicity, op5_secrets, op6_chat, op7_urls, op8_exact_dedup, op9_packing, op10_near_dedup)}
 
 
 def _shipped(f):
@@ -92,8 +96,14 @@ def _shipped(f):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: _shipped(f) for name, f in _QUERIES.items()}
+    return {name: _shipped(f) for name, f in _QUERIES.items()} | {"pipeline": _pipeline}
 
 
 _HOST = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -180,7 +180,9 @@ def _settled(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = materialize(named.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "p", "low", "high")).alias("one")))
     whole = named.join(classes.where("n > 1").select("core", "full"), ["core", "full"], "left_semi").select("doc_id", "low", "high")
     unsure = classes.groupBy("core").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("core")
-    return materialize(whole), materialize(classes.join(unsure, "core", "left_semi").select("one.doc_id", "one.p", "one.low", "one.high"))
+    out = materialize(whole), materialize(classes.join(unsure, "core", "left_semi").select("one.doc_id", "one.p", "one.low", "one.high"))
+    discard(classes)
+    return out
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
