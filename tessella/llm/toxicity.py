@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
         part = text[offsets[r]:offsets[r + 1]]
         _, _, rows, kinds = _tokens(part, np.array([0, len(part)]))
         if len(rows) > 8:
-            marks = {int((kinds[0] * s).min()) for s in np.array([3, 5, 7, 11], np.uint64)}
+            runs = mix(mix(mix(kinds[0][:-2]) + kinds[0][1:-1]) + kinds[0][2:])
+            marks = {int((runs * s).min()) for s in np.array([3, 5, 7, 11], np.uint64)}
             if len(marks & seen) >= 3:
                 continue
             seen |= marks
