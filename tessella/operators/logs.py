@@ -44,18 +44,25 @@ def minmax_downsample(points: DataFrame, keys: list[str], x: str, y: str, bucket
     return ends.unionByName(kept)
 
 
-def learning_rate(step: Column, start: int, end: int, cycles: int, warmup: int, peak: float, least: float) -> Column:
-    """Cosine cycles between equal boundaries; the first cycle begins with a linear warm-up from the old rate."""
-    span = (end - start) / cycles
-    edges = [start + round(span * k) for k in range(cycles + 1)]
-    rate = F.lit(least)
+def cycle_edges(start: int, end: int, cycles: int) -> list[int]:
+    """Cycle boundaries; earlier cycles take the updates that don't divide evenly."""
+    width, extra = divmod(end - start, cycles)
+    edges = [start]
     for k in range(cycles):
-        low, high = edges[k], edges[k + 1]
+        edges.append(edges[-1] + width + (k < extra))
+    return edges
+
+
+def learning_rate(step: Column, edges: list[int], warmup: int, old: float, peak: float, least: float) -> Column:
+    """Cosine cycles from ``peak`` to ``least`` between the edges; the first begins with a straight line from the old rate."""
+    rate = F.lit(least)
+    for k, (low, high) in reversed(list(enumerate(zip(edges, edges[1:])))):
         warm = warmup if k == 0 else 0
-        progress = (step - low - warm) / F.lit(float(max(1, high - low - warm - 1)))
-        cosine = F.lit(least) + F.lit((peak - least) / 2) * (1 + F.cos(F.lit(math.pi) * progress))
-        value = F.when(step < low + warm, F.lit(least) + (step - low + 1) / F.lit(float(max(1, warm))) * F.lit(peak - least)).otherwise(cosine) if warm else cosine
-        rate = F.when((step >= low) & (step < high), value).otherwise(rate)
+        at = F.greatest(step, F.lit(edges[0])) - low
+        value = F.lit(least) + F.lit((peak - least) / 2) * (1 + F.cos(F.lit(math.pi) * (at - warm) / F.lit(float(high - low - warm - 1))))
+        if warm > 1:
+            value = F.when(at < warm, F.lit(old) + F.lit(peak - old) * at / F.lit(float(warm - 1))).otherwise(value)
+        rate = F.when(step < high, value).otherwise(rate)
     return rate
 
 

@@ -189,7 +189,7 @@ _PLANS = {
     "minmax_downsample": _minmax,
     "shard_offsets": _docs(lambda d: packing.shard_offsets(_tokens(d), 20000)),
     "shard_validate": _docs(lambda d: packing.validate_shards(packing.shard_offsets(_tokens(d), 20000))),
-    "lr_schedule": lambda spark, sf_dir: spark.range(55200, 244141, 997).select(F.col("id").alias("step"), F.round(logs.learning_rate(F.col("id"), 55200, 244141, 3, 1000, 1e-4, 1e-5), 12).alias("lr")),
+    "lr_schedule": lambda spark, sf_dir: spark.range(55200, 244141, 997).select(F.col("id").alias("step"), F.round(logs.learning_rate(F.col("id"), logs.cycle_edges(55200, 244141, 3), 1000, 3.60865e-5, 1e-4, 1e-5), 12).alias("lr")),
     "nucleus_topk": _nucleus,
     "similarity_sketch": _sketch,
     "distinct_4gram": _docs(_four_grams),
@@ -231,6 +231,7 @@ _ORACLES = {
     "asof_forward": "WITH e AS (SELECT * FROM events WHERE event_type = 'error'), p AS (SELECT user_id, ts, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT e.event_id, p.event_id AS next_purchase FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts <= p.ts",
     "rollback": "WITH e AS (SELECT *, event_id % 97 AS step, min(CASE WHEN event_type = 'error' THEN event_id % 97 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM events) SELECT event_id, user_id, step FROM e WHERE event_type <> 'error' AND (later IS NULL OR step <= later)",
     "minmax_downsample": "WITH e AS (SELECT event_id, value, user_id % 10 AS key, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id % 10) AS n FROM events), i AS (SELECT *, (rn - 2) * 20 // (n - 2) AS b FROM e WHERE rn > 1 AND rn < n), k AS (SELECT *, row_number() OVER (PARTITION BY key, b ORDER BY value, event_id) AS lo, row_number() OVER (PARTITION BY key, b ORDER BY value DESC, rn) AS hi FROM i) SELECT key, event_id, value FROM k WHERE lo = 1 OR hi = 1 UNION ALL SELECT key, event_id, value FROM e WHERE rn = 1 OR rn = n",
+    "lr_schedule": "WITH s AS (SELECT unnest(range(55200, 244141, 997)) AS step), c AS (SELECT step, CASE WHEN step < 118181 THEN 55200 WHEN step < 181161 THEN 118181 ELSE 181161 END AS low, CASE WHEN step < 118181 THEN 118181 WHEN step < 181161 THEN 181161 ELSE 244141 END AS high FROM s) SELECT step, round(CASE WHEN step - 55200 < 1000 THEN 3.60865e-5 + (1e-4 - 3.60865e-5) * (step - 55200) / 999.0::DOUBLE WHEN low = 55200 THEN 1e-5 + 4.5e-5 * (1 + cos(pi() * (step - low - 1000) / (high - low - 1001)::DOUBLE)) ELSE 1e-5 + 4.5e-5 * (1 + cos(pi() * (step - low) / (high - low - 1)::DOUBLE)) END, 12) AS lr FROM c",
     "nucleus_topk": "WITH v AS (SELECT vec_id, unnest(embedding) AS logit, generate_subscripts(embedding, 1) - 1 AS token FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token) AS rn FROM v), p AS (SELECT *, exp(logit::DOUBLE) / sum(exp(logit::DOUBLE)) OVER (PARTITION BY vec_id) AS p FROM r WHERE rn <= 20), c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) SELECT vec_id, token, rn FROM c WHERE before IS NULL OR before < 0.5",
     "similarity_sketch": "SELECT label, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 3) AS rr, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE))), 3) AS s FROM embeddings GROUP BY label",
     "distinct_4gram": r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents WHERE n_chars < 3000), g AS (SELECT doc_id, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) AS g FROM t WHERE len(w) >= 5) SELECT doc_id, round(len(list_distinct(g)) / len(g)::DOUBLE, 3) AS ratio FROM g",
