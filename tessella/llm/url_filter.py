@@ -37,7 +37,7 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(\.html)?/*$", ""))
 
 
-def _mask(url: Column) -> Column:
+def mask_of(url: Column) -> Column:
     bits = F.xxhash64(url, F.lit(2))
     mask = F.lit(0).cast("long")
     for k in range(BITS):
@@ -45,10 +45,13 @@ def _mask(url: Column) -> Column:
     return mask
 
 
+def block_of(value: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(1)), F.lit(blocks)).cast("int")
+
+
 def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
     """(block, word) rows of the blocked Bloom filter of ``listed.canonical``."""
-    block = F.pmod(F.xxhash64("canonical", F.lit(1)), F.lit(blocks)).cast("int")
-    return listed.select(block.alias("block"), _mask(F.col("canonical")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    return listed.select(block_of(F.col("canonical"), blocks).alias("block"), mask_of(F.col("canonical")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -67,7 +70,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = MAX_BL
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), action.alias("action"), canonical(F.col("host"), F.col("path")).alias("canonical"))
-    base = base.withColumn("block", F.pmod(F.xxhash64("canonical", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("mask", _mask(F.col("canonical")))
+    base = base.withColumn("block", block_of(F.col("canonical"), blocks)).withColumn("mask", mask_of(F.col("canonical")))
     probed = base.join(F.broadcast(bloom_filter(listed, blocks)), "block", "left").withColumn("possible", F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)) & F.col("action").isNull())
     # A URL that cannot be listed gets a null key, which no join partner has.
     keyed = probed.withColumn("key", F.when(F.col("possible"), F.col("canonical")))
