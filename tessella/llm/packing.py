@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SIZE = 2048
-CACHE = 200_000
+CACHE = 400_000
 _NEAR_BLANK = re.compile(r"\s | \s")
+_MARKS = ".,;:!?*"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 _loaded: dict[str, object] = {}
 
@@ -73,24 +75,48 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    def _learn(self, missing: list[str]) -> None:
+        """Add chunks to the cache.
+
+        The word pattern always splits between a letter and one of ``_MARKS``,
+        so a word and the marks behind it are encoded (and kept) by themselves.
+        """
+        known, pairs, due = self.known, {}, []
+        for c in missing:
+            word = c.rstrip(_MARKS)
+            if len(word) < len(c) and word[-1:].isalpha():
+                pairs[c] = word, c[len(word):]
+            else:
+                due.append(c)
+        due = list({*due, *(x for pair in pairs.values() for x in pair if x not in known)})
+        for c, e in zip(due, self.tokenizer.encode_batch_fast(due, add_special_tokens=False) if due else ()):
+            known[c] = np.asarray(e.ids, "<u4").tobytes()
+        known.update((c, known[a] + known[b]) for c, (a, b) in pairs.items())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [chunks(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
+            # What came first is what is common.
+            self.known = dict(islice(self.known.items(), CACHE // 2))
         known = self.known
         missing = list({c for p in parts for c in p if c not in known})
-        if missing:
-            for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
+        self._learn(missing)
         return [b"".join([known[c] for c in p]) for p in parts]
 
 
+def encoder_of(path: str) -> Encoder:
+    """This process' encoder for a tokenizer; tasks that share a worker share its cache."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, salts: int = 64) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and a rank bucket for each piece."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        encoder = _loaded.get(path) or _loaded.setdefault(path, Encoder(path))
+        encoder = encoder_of(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for low in range(0, len(ids), 256):
