@@ -129,7 +129,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, salt
                     for k, start in enumerate([0, *range(first, n, size)]):
                         end = first if k == 0 else start + size
                         crc = zlib.crc32(memoryview(data)[4 * start:4 * end])
-                        rows.append((doc, k, start, end - start, crc, (crc ^ k) % salts))
+                        # By document, not content: copies share their content.
+                        rows.append((doc, k, start, end - start, crc, (zlib.crc32(str(doc).encode()) + k) % salts))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _PIECES)
