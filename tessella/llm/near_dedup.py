@@ -6,9 +6,14 @@ class keeps a sketch of minwise tokens. A tree branches the classes by one
 chosen sketch coordinate after another (the path); a node with at most
 ``small_node`` members is compared exhaustively, a larger one branches again,
 and a node that is still larger at the last level (its members share every
-chosen token) is compared with one pivot, the member with the smallest id,
-which connects it without listing all its pairs. ``trees`` independent trees
-bring a pair at the threshold together with the stated recall. Candidate pairs
+chosen token) is compared with one pivot first, the member with the smallest
+id, which connects most of it without listing all its pairs. What the
+confirmed links leave in several components is then compared whole: members
+outside a node's largest component, in blocks, with all members of other
+components and like size, so no link between components of a node is left
+out, and nothing is compared that couldn't change a component. ``trees``
+independent trees bring a pair at the threshold together with the stated
+recall. Candidate pairs
 whose sketches put them far below the threshold are left out by an estimate
 five standard errors wide; all others are confirmed on their full sets.
 Components come from alternating star contraction of the confirmed links.
@@ -36,6 +41,9 @@ SMALL_NODE = 16
 #: Upper bound of the Bloom filter of ids to confirm (rows of an int and a long).
 MAX_BLOCKS = 1 << 20
 _SLICE = 1 << 20
+#: Members in a block of a crowded node, and members a task streams past one block.
+BLOCK = 256
+STREAM = 8192
 #: Below this estimate of the similarity a pair is left out (five standard errors under 0.75 with 96 coordinates).
 _LEAST_ESTIMATE = 0.53
 
@@ -111,8 +119,8 @@ def _paths(classes: DataFrame, trees: int, levels: tuple[int, ...]) -> DataFrame
     return classes.select("rep", "sketch").mapInArrow(run, "rep long, " + ", ".join(f"node_{k} long" for k in range(len(levels))))
 
 
-def candidates(classes: DataFrame, trees: int = TREES, levels: tuple[int, ...] = LEVELS, small_node: int = SMALL_NODE) -> DataFrame:
-    """Distinct pairs (a < b) of classes that meet in a small node or at a pivot."""
+def candidates(classes: DataFrame, trees: int = TREES, levels: tuple[int, ...] = LEVELS, small_node: int = SMALL_NODE) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of classes that meet in a small node or at a pivot, and the members (node, rep) of nodes crowded at the last level."""
     rows = _paths(classes, trees, levels)
     found = []
     for k in range(len(levels)):
@@ -126,11 +134,75 @@ def candidates(classes: DataFrame, trees: int = TREES, levels: tuple[int, ...] =
         rows = rows.where(F.col("size") > small_node)
         if k == len(levels) - 1:
             found.append(rows.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a < b"))
+            crowded = rows.select(F.col(node).alias("node"), "rep")
         rows = rows.drop("size", "pivot")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out.distinct(), crowded
+
+
+def crossing(crowded: DataFrame, classes: DataFrame, found: DataFrame, block: int = BLOCK, stream: int = STREAM) -> DataFrame:
+    """Pairs (a < b) of members of one crowded node that lie in different components and whose sketches allow a link.
+
+    Members outside the node's largest component form blocks of about
+    ``block``; all members stream past them, at most about ``stream`` a task,
+    so neither a node nor a block has to fit in one task.
+    """
+    of = found.select(F.col("node").alias("rep"), "component")
+    rows = crowded.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("node").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    rows = materialize(rows.join(mixed, "node").join(classes.select("rep", "n_shingles", "sketch"), "rep")
+                       .withColumn("loose", F.col("component") != F.col("main")).withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(1.34)))).drop("main"))
+    # Sizes of linked sets differ by a third at most, so by one band at most.
+    near = rows.select("rep", "node", "component", "n_shingles", "sketch", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    blocks = rows.where("loose").groupBy("node", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
+    streams = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / stream).cast("int").alias("n_streams"))
+    plan = materialize(blocks.join(streams, "node"))
+
+    def part(count, seed):
+        return F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(count)).cast("int")
+
+    def copies(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    held = rows.where("loose").join(plan, ["node", "band"]).withColumn("block", part("n_blocks", 1)).withColumn("stream", copies("n_streams")).withColumn("passes", F.lit(False))
+    moving = near.join(plan, ["node", "band"]).withColumn("stream", part("n_streams", 2)).withColumn("block", copies("n_blocks")).withColumn("passes", F.lit(True))
+    key = ["node", "band", "block", "stream"]
+    columns = [*key, "passes", "rep", "component", "n_shingles", "sketch"]
+    lined = held.select(columns).unionByName(moving.select(columns)).repartition(*key).sortWithinPartitions(*key, "passes")
+
+    def run(batches):
+        last, ids, parts, counts, tokens = None, [], [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
+            passes = batch.column("passes").to_numpy(zero_copy_only=False)
+            rep, component, n = (batch.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(rep), -1)
+            turn = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (passes[1:] != passes[:-1])) + 1
+            a, b = [], []
+            for low, high in zip([0, *turn], [*turn, len(rep)]):
+                here = tuple(keys[:, low])
+                if here != last:
+                    last, ids, parts, counts, tokens = here, [], [], [], []
+                if not passes[low]:
+                    ids += rep[low:high].tolist()
+                    parts += component[low:high].tolist()
+                    counts += n[low:high].tolist()
+                    tokens += list(sketch[low:high].copy())
+                    continue
+                for i, who in enumerate(ids):
+                    fits = np.flatnonzero((component[low:high] != parts[i]) & (100 * np.minimum(n[low:high], counts[i]) >= 75 * np.maximum(n[low:high], counts[i])))
+                    fits = fits[(sketch[low:high][fits] == tokens[i]).mean(axis=1) >= _LEAST_ESTIMATE] if len(fits) else fits
+                    other = rep[low:high][fits]
+                    a.append(np.minimum(other, who))
+                    b.append(np.maximum(other, who))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
+
+    return lined.mapInArrow(run, "a long, b long").distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -215,9 +287,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     some = sketched.where("n_shingles > 0")
     keys = ["set_a", "set_b", "n_shingles"]
     groups = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
-    pairs = materialize(_estimated(candidates(groups, trees, levels, small_node), groups))
-    links = _confirmed(pairs, docs, width, percent)
-    found = components(links)
+    met, crowded = candidates(groups, trees, levels, small_node)
+    pairs = materialize(_estimated(met, groups))
+    links = materialize(_confirmed(pairs, docs, width, percent))
+    found = materialize(components(links))
+    more = materialize(crossing(crowded, groups, found))
+    if more.head(1):
+        # Contracted: the links found so far count as each node's link to its component.
+        joined = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        found = components(joined.unionByName(_confirmed(more, docs, width, percent)))
     classes = groups.drop("sketch").join(found, groups.rep == found.node, "left").select(*keys, F.coalesce("component", "rep").alias("c"))
     return (sketched.drop("sketch").join(classes, keys, "left")
             .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

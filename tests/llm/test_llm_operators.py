@@ -67,6 +67,23 @@ def test_large_near_group_is_one_component(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 120
 
 
+def test_crowded_nodes_keep_links_outside_the_pivot(spark):
+    """Pairs that share a long passage with many others, yet are linked only with each other."""
+    passage = BASE.split()[:40]
+    texts = []
+    for i in range(30):
+        own = [f"w{i}x{k}" for k in range(30)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + [f"e{i}"])]
+    got = near_dedup.near_duplicates(frame(spark, texts), trees=24, levels=(1,), small_node=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(60)}
+    # Small blocks and streams give the same pairs.
+    docs = frame(spark, texts)
+    sketched = near_dedup.sketches(docs, size=96).withColumnRenamed("doc_id", "rep")
+    crowded, found = sketched.selectExpr("1L AS node", "rep"), spark.createDataFrame([], "node long, component long")
+    pairs = [{(r.a, r.b) for r in near_dedup.crossing(crowded, sketched, found, *sizes).collect()} for sizes in ((256, 8192), (3, 7))]
+    assert pairs[0] == pairs[1] and {(i, i + 1) for i in range(0, 60, 2)} <= pairs[0]
+
+
 def test_exact_dedup(spark):
     got = {r.doc_id: r for r in exact_dedup.exact_duplicates(frame(spark, TEXTS)).collect()}
     norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for t in TEXTS]
