@@ -35,14 +35,14 @@ def op6_chat(spark, sf_dir):
     return chat_format.read_back(chat_format.examples(turns.unionByName(extra)))
 
 
-#: The query's list: the canonical URLs of the pages on these hosts (a fixed parameter).
+#: The query's list: the canonical URLs of the pages on these hosts, with or without ``www.`` or other subdomains (a fixed parameter).
 LISTED_HOSTS = ("spam-farm",)
 
 
 def op7_urls(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host = url_filter.host_of(F.col("url"))
-    spam = pages.where(F.substring_index(host, ".", 1).isin(*LISTED_HOSTS))
+    spam = pages.where(url_filter.on_listed_host(host, LISTED_HOSTS))
     return url_filter.judge(pages, spam.select(url_filter.canonical(host, url_filter.path_of(F.col("url"))).alias("canonical")))
 
 

@@ -37,6 +37,11 @@ def canonical(host: Column, path: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(\.html)?/*$", ""))
 
 
+def on_listed_host(host: Column, names) -> Column:
+    """True where a label of the host, ``www.`` dropped as in ``canonical``, is one of the names: the host itself or any subdomain of it."""
+    return F.arrays_overlap(F.split(F.regexp_replace(host, r"^www\.", ""), r"\."), F.array(*map(F.lit, names)))
+
+
 def mask_of(url: Column) -> Column:
     bits = F.xxhash64(url, F.lit(2))
     mask = F.lit(0).cast("long")

@@ -121,6 +121,15 @@ def test_urls(spark):
         assert got == [(None, "allow")] * 2 + [("example.org/es/", "block"), ("example.org/en/1", "block"), (None, "allow"), (None, "block"), (None, "block"), ("com/de/", "block"), (None, "allow")]
 
 
+def test_listed_hosts_with_www(spark, tmp_path):
+    from tessella.llm import registry
+
+    urls = ["http://www.spam-farm.example.com/a.html", "https://Spam-Farm.example.com/a/", "http://b.spam-farm.net/", "http://example.com/a", "http://spam-farmer.net/", "http://www.spam-farm.example.org/x", "http://www.spam-farm.net/only"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.listed, r.verdict) for r in registry.op7_urls(spark, str(tmp_path)).collect()}
+    assert got == {0: (True, "block"), 1: (True, "block"), 2: (True, "block"), 3: (False, "allow"), 4: (False, "allow"), 5: (False, "allow"), 6: (True, "block")}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
