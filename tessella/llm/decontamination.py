@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every n-gram of a test item that a document holds is a hit. Document
-frequencies over the whole corpus make the rarest n-gram of each stretch of
-``STRIDE`` words of an item a seed, so each stretch of every item has one,
-however often it was copied. Documents that hold a seed of an item are aligned
-with it: Smith-Waterman over words (match 2, mismatch and gap -1) on the window
-around the hits. The score is the best alignment's share of the highest
-possible one, so edited copies stay over ``LEAST_SCORE``.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every n-gram of a test item that a document holds is a seed, however common it
+is: an edited copy may hold no other, so none is left out for its document
+frequency. The window around a document's seeds of an item is aligned with it:
+Smith-Waterman over words (match 2, mismatch and gap -1). The score is the best
+alignment's share of the highest possible one, so edited copies stay over
+``LEAST_SCORE``. Windows are skipped only where an upper bound of the score
+(``_bound``, from which words the two have in common) is under the least score
+asked for, so no match is lost to that. ``n_seeds`` counts the stretches of
+``STRIDE`` words of the item in which a seed begins.
 
 The items are the side that is sent to all tasks, in shards of at most
 ``SHARD_BYTES``; more items mean more passes over the documents, never a larger
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes
+from .common import slices, text_bytes
 from .words import mix, words
 
 GRAM = 3
@@ -79,8 +81,8 @@ def _align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best
 
 
-def _hits(docs: DataFrame, shared, n: int) -> DataFrame:
-    """doc_id, item (its number in the shard), grams (of the item, found here) and the words around them."""
+def _hits(docs: DataFrame, shared, n: int, stride: int) -> DataFrame:
+    """doc_id, item (its number in the shard), seeds (stretches of the item with an n-gram found here) and the words around them."""
 
     def run(batches):
         items = shared.value
@@ -98,29 +100,26 @@ def _hits(docs: DataFrame, shared, n: int) -> DataFrame:
                 count = y - x
                 which = np.repeat(np.arange(len(grams)), count)
                 entry = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(x, count)
-                at, gram, item, place = at[which], grams[which], items.item[entry], items.place[entry]
+                at, item, place = at[which], items.item[entry], items.place[entry]
                 row = rows[at] if len(at) else at
                 order = np.lexsort((at, item, row))
-                at, gram, item, place, row = at[order], gram[order], item[order], place[order], row[order]
+                at, item, place, row = at[order], item[order], place[order], row[order]
                 low = np.maximum(at - place - PAD, bounds[row])
                 high = np.minimum(at - place + items.sizes[item] + PAD, bounds[row + 1])
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])])) if len(at) else []
                 for i, j in zip(new, [*new[1:], len(at)]):
                     a, b = int(low[i:j].min()), int(high[i:j].max())
-                    out.append((int(ids[first + row[i]]), int(item[i]), np.unique(gram[i:j]).view(np.int64).tolist(), prints[a:b].tobytes()))
+                    out.append((int(ids[first + row[i]]), int(item[i]), len(np.unique(place[i:j] // stride)), prints[a:b].tobytes()))
             cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()))], ["doc_id", "item", "grams", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "item", "seeds", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, item int, grams array<long>, words binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, item int, seeds long, words binary")
 
 
-def _seeds(items: _Items, frequency: dict[int, int], stride: int) -> set[tuple[int, int]]:
-    """(item, gram): the rarest gram of each stretch of each item, by document frequency (ties: the first)."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for gram, item, place in zip(items.grams.view(np.int64).tolist(), items.item.tolist(), items.place.tolist()):
-        key = (item, place // stride)
-        best[key] = min(best.get(key, (1 << 62, 0, 0)), (frequency.get(gram, 0), place, gram))
-    return {(item, gram) for (item, _), (_, _, gram) in best.items()}
+def _bound(found: np.ndarray) -> int:
+    """The highest score a local alignment can have whose words are found (at most 2 each) or not (-1 each)."""
+    total = np.concatenate([[0], np.cumsum(np.where(found, 2, -1))])
+    return int((total - np.minimum.accumulate(total)).max())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, stride: int = STRIDE, least: float = 0.0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -133,19 +132,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, stride: int =
         part = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         items = _Items(part.column("item_id").to_pylist(), part.column("text").combine_chunks() if part.num_rows else pa.array([], pa.string()), n)
         shared = spark.sparkContext.broadcast(items)
-        hits = materialize(_hits(docs, shared, n))
-        # One number for each n-gram of the shard, whatever the corpus' size.
-        frequency = {r.g: r.n for r in hits.select("doc_id", F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-        seeds = spark.sparkContext.broadcast(_seeds(items, frequency, stride))
 
-        def run(batches, shared=shared, seeds=seeds):
-            items, rare = shared.value, seeds.value
+        def run(batches, shared=shared):
+            items = shared.value
             for batch in batches:
                 due: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-                for doc, item, grams, got in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "grams", "words"))):
-                    count = sum((item, g) in rare for g in grams)
-                    if count:
-                        due.setdefault(item, []).append((doc, count, np.frombuffer(got, np.uint64)))
+                for doc, item, count, got in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "item", "seeds", "words"))):
+                    window, test = np.frombuffer(got, np.uint64), items.words[item]
+                    if all(_bound(x) / (2 * len(test)) >= least for x in (np.isin(window, test), np.isin(test, window))):
+                        due.setdefault(item, []).append((doc, count, window))
                 out = []
                 for item, rows in due.items():
                     rows.sort(key=lambda r: len(r[2]))
@@ -159,7 +154,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, stride: int =
                 cols = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "score", "n_seeds"])
 
-        found.append(hits.mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long"))
+        found.append(_hits(docs, shared, n, stride).mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -175,6 +175,25 @@ def test_decontamination(spark):
         assert set(got) == {3, 4, 5} and got[3].score == got[5].score == 1 and got[4].score < 1
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_decontamination_of_edited_copies(spark, every):
+    """Copies with every 4th to 6th word changed are found, beside exact copies and documents that share the common words."""
+    items = {i: prose(40, 100 + i) for i in range(20)}
+    edit = lambda t: " ".join(f"zq{k}" if k % every == every - 1 else w for k, w in enumerate(t.split()))
+    rows = [(i, edit(t)) for i, t in items.items()] + [(100 + i, t) for i, t in items.items()] + [(200 + i, prose(60, 300 + i)) for i in range(20)]
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()}
+    assert got == {(i, i) for i in items} | {(100 + i, i) for i in items}
+
+
+def test_decontamination_bound_is_not_under_the_score():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        item, window = rng.integers(1, 9, 12).astype(np.uint64), rng.integers(1, 30, 40).astype(np.uint64)
+        score = int(decontamination._align(item, window[None])[0])
+        assert score <= min(decontamination._bound(np.isin(window, item)), decontamination._bound(np.isin(item, window)))
+
+
 def test_crf_against_enumeration():
     import itertools
 
