@@ -144,9 +144,10 @@ def _sketch(spark, sf_dir):
 
 
 def _four_grams(docs):
+    """One row a document; fewer than 5 words (or no text) give null."""
     w = F.filter(F.split(F.col("text"), r"[ \n]+"), lambda x: x != "")
-    g = F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i + 1, F.lit(4)), " "))
-    return docs.where("n_chars < 3000").select("doc_id", w.alias("w")).where(F.size("w") >= 5).select("doc_id", g.alias("g")).select("doc_id", F.round(F.size(F.array_distinct("g")) / F.size("g"), 3).alias("ratio"))
+    g = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, F.lit(4)), " "))
+    return docs.select("doc_id", w.alias("w")).select("doc_id", F.when(F.size("w") >= 5, g).alias("g")).select("doc_id", F.round(F.size(F.array_distinct("g")) / F.when(F.col("g").isNotNull(), F.size("g")), 3).alias("ratio"))
 
 
 def _stream(spark, sf_dir):

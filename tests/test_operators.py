@@ -56,6 +56,19 @@ def test_line_chunks_and_lookup(spark):
     assert sorted((r.position, r.doc_id) for r in packing.position_lookup(ends, draws, 8).collect()) == [(9, 1), (10, 2), (34, 2)]
 
 
+def test_distinct_four_grams_of_all_documents(spark):
+    from tessella.plans import catalog
+
+    texts = [None, "", "a b c d", "a b c d e", "a b  c\nd a b c d", "ab cd ef " * 2000, " ".join(f"w{i * i % 997}" for i in range(5000))]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.ratio for r in catalog._four_grams(docs).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        g = [tuple(w[k:k + 4]) for k in range(len(w) - 3)]
+        assert got.pop(i) == (None if len(w) < 5 else pytest.approx(len(set(g)) / len(g), abs=5.1e-4))
+    assert not got
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 
