@@ -17,34 +17,46 @@ from tessella.llm.sampling import fold
 ORACLE_SQL = None
 
 
-def _keep(docs, ids):
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _keep(docs, judged):
+    """The documents judged kept, and all without a doc_id: their ``kept`` is null, as nothing tells one of them from another."""
+    ids = judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def _drop(docs, found):
+    """Without the documents that ``found`` gives the ids of; those without a doc_id are judged apart, under ids that hold for the stage only."""
+    out = docs.join(found(docs.where("doc_id is not null")).select("doc_id").distinct(), "doc_id", "left_anti").where("doc_id is not null").select(*docs.columns)
+    rest = docs.where("doc_id is null")
+    if not rest.head(1):
+        return out
+    rest = materialize(rest.withColumn("doc_id", F.monotonically_increasing_id()))
+    left = rest.join(found(rest).select("doc_id").distinct(), "doc_id", "left_anti").withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    return out.unionByName(left.select(*docs.columns))
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Drop documents whose toxicity is 0.5 or more; the model learns from all labelled input documents outside the held-out fold."""
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    return docs.join(toxicity.score(docs, model).where("score >= 0.5").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _drop(docs, lambda rows: toxicity.score(rows, model).where("score >= 0.5"))
 
 
 def drop_copies(spark, docs, sf_dir):
     """Keep the longest (then first) document of each group of equal texts."""
     ship(spark)
-    return _keep(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    return _keep(docs, exact_dedup.exact_duplicates(docs))
 
 
 def drop_near_copies(spark, docs, sf_dir):
     """Keep the first document of each near-duplicate component."""
     ship(spark)
-    return _keep(docs, near_dedup.near_duplicates(docs).where("kept"))
+    return _keep(docs, near_dedup.near_duplicates(docs))
 
 
 def drop_leaks(spark, docs, sf_dir):
     """Drop documents that hold an exact or edited copy of a benchmark item."""
     ship(spark)
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return _drop(docs, lambda rows: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark")))
 
 
 def pack(spark, docs, sf_dir):

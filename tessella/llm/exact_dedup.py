@@ -9,7 +9,8 @@ as at most one row per map task and salt, and the last merge sees at most
 
 Defined results: null text counts as empty, and all empty or blank texts are
 copies of each other; ties on length go to the smallest doc_id; repeated rows
-of one doc_id each count; an empty table gives an empty result; extra columns
+of one doc_id each count; a null doc_id is never the one to keep and gets
+a null kept; an empty table gives an empty result; extra columns
 are ignored.
 """
 

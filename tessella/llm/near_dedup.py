@@ -20,7 +20,8 @@ Components come from alternating star contraction of the confirmed links.
 
 Defined results: null or wordless text is an empty set, linked with nothing;
 a text with fewer words than a shingle is one shingle; equal texts are linked;
-an empty table gives an empty result; extra columns are ignored.
+a null doc_id is never the one to keep and gets
+a null kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     sketched = materialize(sketches(docs, width, trees * levels[-1]))
     some = sketched.where("n_shingles > 0")
     keys = ["set_a", "set_b", "n_shingles"]
-    groups = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
+    groups = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).where("rep is not null"))
     met, crowded = candidates(groups, trees, levels, small_node)
     pairs = materialize(_estimated(met, groups))
     links = materialize(_confirmed(pairs, docs, width, percent))

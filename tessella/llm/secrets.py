@@ -13,8 +13,8 @@ offsets in code points.
 
 Defined results: null text counts as empty; spans of different kinds may
 overlap and are listed by start, then by rule order; repeated rows are grouped
-by doc_id only for the index and reported one by one; an empty table gives an
-empty result; extra columns are ignored.
+by doc_id only for the index and reported one by one, rows without a doc_id
+likewise; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id, counts and digests of base spans, and all spans."""
     base = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     met = candidates(base, rules).withColumnRenamed("doc_id", "id")
-    rows = base.join(met, base.doc_id == met.id, "left")
+    rows = base.join(met, base.doc_id.eqNullSafe(met.id), "left")
     none = F.expr("cast(array() as array<struct<start:int,ord:int,span:string>>)")
     found = {}
     for k, r in enumerate(rules):

@@ -101,6 +101,24 @@ def test_secrets(spark):
     assert got[0].spans == got[1].spans == "" and got[0].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_rows_without_doc_id(spark, tmp_path):
+    import corpus_pipeline
+
+    said = "PASSWORD: xyzzy1 AKIA" + "A" * 16
+    rows = [(None, said), (1, said), (None, BASE), (2, BASE), (3, BASE), (None, prose(80, 21)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.spans for r in secrets.scan(docs).collect())
+    assert got == [""] * 5 + ["assign:0:16,access:17:37"] * 2
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        kept = stage(spark, docs, None)
+        assert kept.columns == docs.columns
+        assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id < 3").collect()))
+    spark.createDataFrame([(1, BASE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert sorted(map(repr, left.collect())) == sorted(repr(r) for r in docs.collect() if r.text != BASE)
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, left, None).collect()} == {None, 1}
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", said), (1, 1, "assistant", "a\\<|b\\\\<\\|"), (1, 2, "user", None), (2, 0, "us\ner", "x"), (3, 1, "assistant", "second"), (3, 0, "assistant", "first"), (4, 0, None, None)]
