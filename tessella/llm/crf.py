@@ -112,12 +112,13 @@ def train(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, weight:
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.2, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic regression by Adam."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 300, rate: float = 0.2, ridge: float = 1e-3) -> np.ndarray:
+    """Weights (the last is the intercept) of a logistic regression by Adam; ``weight`` counts rows more or less than once."""
     x = np.column_stack([x, np.ones(len(x))])
+    weight = np.ones(len(y)) if weight is None else weight
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for k in range(1, rounds + 1):
-        grad = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -_BOUND, _BOUND))) - y) / max(1, len(y)) + ridge * w
+        grad = x.T @ (weight * (1 / (1 + np.exp(-np.clip(x @ w, -_BOUND, _BOUND))) - y)) / max(1, weight.sum()) + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return w

@@ -6,10 +6,12 @@ Lines take their document's label for fitting. Forward-backward marginals,
 weighted by line length, give the share of good text, and a logistic function
 of that share (and of the worst stretch) is the document's score.
 
-``PER_CLASS`` bounds the labelled sample; all texts are scored whole.
+``PER_CLASS`` bounds the labelled sample; the logistic function is fitted with
+each class weighted to its share of all training labels. All texts are scored
+whole.
 
 Defined results: null, empty or blank text has no lines and gets the share of
-good documents in the sample; without training labels of both kinds every
+good documents among all training labels; without training labels of both kinds every
 score is that share (1 without any labels); repeated rows are scored one by
 one; an empty table gives an empty result; extra columns are ignored.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import slices, text_bytes
-from .sampling import labelled
+from .sampling import class_weights, labelled
 from .words import words
 
 PER_CLASS = 2000
@@ -75,10 +77,11 @@ def _summary(p: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS):
     """(scale, weights, transitions, document weights or None, share of good documents)."""
-    texts, y = labelled(docs, labels, "quality", train, per_class)
+    texts, y, totals = labelled(docs, labels, "quality", train, per_class)
     y = np.array(y, int)
+    prior = totals[1] / sum(totals) if sum(totals) else 1.0
     if not (y == 0).any() or not (y == 1).any():
-        return None, None, None, None, float(y.mean()) if len(y) else 1.0
+        return None, None, None, None, prior
     text, offsets = text_bytes(texts)
     x, doc, size = _lines(text, offsets)
     scale = np.maximum(x.std(axis=0), 1e-3)
@@ -86,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
     weights, trans = crf.train(x / scale, y[doc], lengths[lengths > 0])
     p = crf.Chain(lengths[lengths > 0]).marginals(x / scale @ weights, trans)
     some = lengths > 0
-    return scale, weights, trans, crf.logistic(_summary(p, doc, size, len(y))[some], y[some]), float(y.mean())
+    return scale, weights, trans, crf.logistic(_summary(p, doc, size, len(y))[some], y[some], class_weights(y, totals)[some]), prior
 
 
 def score(docs: DataFrame, model) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,16 +13,23 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> tuple[pa.Array, list[int]]:
-    """Texts and labels of at most ``per_class`` training rows of each class.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> tuple[pa.Array, list[int], list[int]]:
+    """Texts and labels of at most ``per_class`` training rows of each class, and how many training labels each class has in all.
 
     Rows are chosen by the order of a hash of their id among all labelled
     rows, so the choice doesn't depend on file order. At most 2 * per_class
     ids are broadcast, and as many texts come to the driver.
     """
     known = labels.where(F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
     chosen = known.where("y = 0").orderBy(*order).limit(per_class).unionByName(known.where("y = 1").orderBy(*order).limit(per_class))
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toArrow()
     rows = rows.sort_by("doc_id").combine_chunks()
-    return rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("y").to_pylist()
+    return rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("y").to_pylist(), [totals.get(0, 0), totals.get(1, 0)]
+
+
+def class_weights(y: np.ndarray, totals: list[int]) -> np.ndarray:
+    """Weights of sampled rows that give each class its share of all training labels, whatever the sample's; their mean is 1."""
+    w = (np.array(totals) / np.maximum(1, np.bincount(y, minlength=2)))[y]
+    return w / w.mean()

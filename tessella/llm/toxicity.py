@@ -8,8 +8,9 @@ forward-backward marginals give each token's probability. A document's score
 is a logistic function of its highest marginal and of the expected number of
 toxic tokens, and runs of likely tokens are returned as spans.
 
-``PER_CLASS`` bounds the labelled sample, of which near copies count once. All
-texts are scored whole.
+``PER_CLASS`` bounds the labelled sample, of which near copies count once; the
+logistic function is fitted with each class weighted to its share of all
+training labels. All texts are scored whole.
 
 Defined results: null or blank text has no tokens and gets the score of a
 document without toxic tokens; without training labels of both kinds every
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import slices, text_bytes
-from .sampling import labelled
+from .sampling import class_weights, labelled
 from .words import mix, prefixes, words
 
 PER_CLASS = 2000
@@ -114,7 +115,7 @@ def _summary(p: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS):
     """The model (tables, weights, transitions, document weights), or None without labels of both kinds."""
-    texts, y = labelled(docs, labels, "toxic", train, per_class)
+    texts, y, counts = labelled(docs, labels, "toxic", train, per_class)
     text, offsets = text_bytes(texts)
     kept_y, tokens, seen = [], [], set()
     for r in range(len(y)):
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
     some[np.linspace(0, len(cut) - 1, min(STRETCHES, len(cut))).astype(int)] = True
     weights, trans = crf.train(x[some[stretch]], token_y[some[stretch]], cut[some], rounds=100, rate=0.2)
     p = crf.Chain(lengths[lengths > 0]).marginals(x @ weights, trans)
-    return tables, weights, trans, crf.logistic(_summary(p, rows, len(tokens)), y)
+    return tables, weights, trans, crf.logistic(_summary(p, rows, len(tokens)), y, class_weights(y, counts))
 
 
 def score(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:

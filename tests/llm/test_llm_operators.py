@@ -242,6 +242,17 @@ def test_classifiers_hold_out(spark, module, label):
     assert len(none) == len(texts)
 
 
+def test_class_shares_do_not_depend_on_the_sample_bound(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(60, 2)), rng.integers(0, 2, 60)
+    assert np.allclose(crf.logistic(x, y, np.where(y == 1, 3.0, 1.0)), crf.logistic(np.concatenate([x, x[y == 1], x[y == 1]]), np.concatenate([y, y[y == 1], y[y == 1]])))
+    texts = [prose(60, i) if i % 6 else "word word " * 30 for i in range(120)] + [""]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), per_class=10)
+    assert {r.doc_id: r.score for r in quality.score(docs, model).collect()}[120] == pytest.approx(100 / 120)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).limit(0)
     assert suffix_dedup.remove_repeats(docs).count() == near_dedup.near_duplicates(docs).count() == exact_dedup.exact_duplicates(docs).count() == 0
