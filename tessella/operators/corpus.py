@@ -1,4 +1,4 @@
-"""Corpus operators: quality gate, five dedup levels, splits, profiling.
+"""Corpus operators: quality gate, three dedup levels (L2 documents, L3 paragraphs, L4 windows), splits, profiling.
 
 All are plain plans over ``documents``-like frames (doc_id, text, source).
 """

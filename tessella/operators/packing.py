@@ -1,4 +1,4 @@
-"""Token streams: shard offsets, sequential rows, position lookup, stateless sampling."""
+"""Token streams: shard offsets, sequential rows, position lookup."""
 
 from __future__ import annotations
 
