@@ -5,8 +5,9 @@ into pieces of at most ``size`` tokens; all of a document's pieces but the
 first are full. Only the histogram of piece lengths, at most ``size`` numbers,
 reaches the driver. There patterns of up to three lengths that nearly fill a
 sequence are listed, non-negative least squares fits how often each is used,
-the counts are rounded down to what the histogram holds, and what remains is
-packed by best fit on lengths and counts (never on single pieces). The plan
+the counts are rounded so that their sums are kept, and what the histogram
+holds beyond them is packed by best fit on lengths and counts (never on single
+pieces). The plan
 is a table of pattern slots whose size depends on ``size`` alone.
 
 Pieces get their sequence by rank among the pieces of equal length. Ranks are
@@ -21,10 +22,10 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SIZE = 2048
-CACHE = 400_000
-_NEAR_BLANK = re.compile(r"\s | \s")
-_MARKS = ".,;:!?*"
+#: Longest run of blanks, or of anything else, that the quick engine gets.
+USUAL_WORD = 4000
+_LONG_RUN = re.compile(rf"(?<!\S)\S{{{USUAL_WORD}}}|(?<!\s)\s{{{USUAL_WORD}}}")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+#: Share of a sequence that a pattern fills at least; what only emptier ones could hold is packed by best fit.
+LEAST_FILL = 0.95
 _loaded: dict[str, object] = {}
 
 
@@ -47,65 +50,60 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces of a text at which byte-level BPE's word pattern always splits.
+class Encoder:
+    """Token ids as little-endian bytes.
 
-    A single space between two other characters that aren't blank starts a
-    token of its own word, so a text may be cut before it.
+    The tokenizer file's vocabulary and merges drive two engines with equal
+    results: a quick one for texts whose words are of usual length, and the
+    ``tokenizers`` library for the others (the quick one is square in a word's
+    length) and for files that aren't plain byte-level BPE.
     """
-    parts = text.split(" ")
-    out = [parts[0], *[" " + p for p in parts[1:]]]
-    if not _NEAR_BLANK.search(text):
-        return out
-    merged = [out[0]]
-    for part in out[1:]:
-        if not merged[-1] or merged[-1][-1].isspace() or len(part) < 2 or part[1].isspace():
-            merged[-1] += part
-        else:
-            merged.append(part)
-    return merged
-
-
-class Encoder:
-    """Token ids as little-endian bytes, with a bounded cache of chunks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _learn(self, missing: list[str]) -> None:
-        """Add chunks to the cache.
+        self.tokenizer, self.quick = Tokenizer.from_file(path), _quick(path)
 
-        The word pattern always splits between a letter and one of ``_MARKS``,
-        so a word and the marks behind it are encoded (and kept) by themselves.
-        """
-        known, pairs, due = self.known, {}, []
-        for c in missing:
-            word = c.rstrip(_MARKS)
-            if len(word) < len(c) and word[-1:].isalpha():
-                pairs[c] = word, c[len(word):]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        slow = []
+        for i, text in enumerate(texts):
+            if self.quick is None or len(text) > USUAL_WORD and _LONG_RUN.search(text):
+                slow.append(i)
             else:
-                due.append(c)
-        due = list({*due, *(x for pair in pairs.values() for x in pair if x not in known)})
-        for c, e in zip(due, self.tokenizer.encode_batch_fast(due, add_special_tokens=False) if due else ()):
-            known[c] = np.asarray(e.ids, "<u4").tobytes()
-        known.update((c, known[a] + known[b]) for c, (a, b) in pairs.items())
+                out[i] = self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        for i, e in zip(slow, self.tokenizer.encode_batch_fast([texts[i] for i in slow], add_special_tokens=False) if slow else ()):
+            out[i] = np.asarray(e.ids, "<u4").tobytes()
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        if len(self.known) > CACHE:
-            # What came first is what is common.
-            self.known = dict(islice(self.known.items(), CACHE // 2))
-        known = self.known
-        missing = list({c for p in parts for c in p if c not in known})
-        self._learn(missing)
-        return [b"".join([known[c] for c in p]) for p in parts]
+
+def _quick(path: str):
+    """An engine over the file's ranks, or None if ids don't follow merge order or the file does more than byte-level BPE."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or model.get("dropout") or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")) or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])):
+        return None
+    # Byte-level BPE writes printable bytes as themselves and the others as the characters from U+0100 on.
+    plainly = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plainly)]
+    byte_of = {chr(b): b for b in plainly} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("quick", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encoder_of(path: str) -> Encoder:
-    """This process' encoder for a tokenizer; tasks that share a worker share its cache."""
+    """This process' encoder for a tokenizer."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
@@ -156,15 +154,20 @@ def _patterns(hist: np.ndarray, size: int, per_length: int = 8) -> list[tuple[in
     return sorted(out, reverse=True)
 
 
-def nnls(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Repeat counts x >= 0 with least |A x - hist|, by accelerated projected gradients."""
+def nnls(patterns: list[tuple[int, ...]], hist: np.ndarray, size: int = SIZE, rounds: int = 300) -> np.ndarray:
+    """Repeat counts x >= 0 with least |A x - hist|^2, by accelerated projected gradients.
+
+    A row of A is a piece length, scaled so that tokens count, not pieces. One
+    more row, with the target 0, holds each pattern's unused room: of equal
+    fits the one that wastes least is found.
+    """
     rows = np.concatenate([np.array(p) for p in patterns])
     cols = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    # Longer fills are better among equal fits: a row scale by length makes tokens, not pieces, the measure.
     scale = np.sqrt(np.arange(len(hist), dtype=float))
-    apply = lambda x: np.bincount(rows, x[cols] * scale[rows], minlength=len(hist))
-    back = lambda y: np.bincount(cols, y[rows] * scale[rows], minlength=len(patterns))
-    target = hist * scale
+    room = (size - np.bincount(cols, rows, minlength=len(patterns))) / np.sqrt(size)
+    apply = lambda x: np.append(np.bincount(rows, x[cols] * scale[rows], minlength=len(hist)), room @ x)
+    back = lambda y: np.bincount(cols, y[rows] * scale[rows], minlength=len(patterns)) + room * y[-1]
+    target = np.append(hist * scale, 0.0)
     x = np.zeros(len(patterns))
     v = np.ones(len(patterns))
     for _ in range(12):
@@ -179,24 +182,40 @@ def nnls(patterns: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 200) -
     return x
 
 
-def plan(hist: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, count) pairs that use up the histogram exactly."""
+def rounded(patterns: list[tuple[int, ...]], fit: np.ndarray) -> np.ndarray:
+    """Whole repeat counts: among the patterns with the same longest piece, fractions are carried on to the next, so that their sum is kept to less than 1."""
+    lead = np.array([p[0] for p in patterns])
+    upto = np.cumsum(fit)
+    first = np.flatnonzero(np.concatenate([[True], lead[1:] != lead[:-1]]))
+    base = np.repeat((upto - fit)[first], np.diff(np.concatenate([first, [len(lead)]])))
+    whole = np.floor(upto - base + 0.5)
+    begin = np.zeros(len(lead), bool)
+    begin[first] = True
+    return np.where(begin, whole, whole - np.concatenate([[0], whole[:-1]])).astype(np.int64)
+
+
+def by_patterns(hist: np.ndarray, size: int = SIZE) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(pattern, count) pairs that the fit asks for, as far as the histogram holds them, and the histogram of what is left."""
     left = hist.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    if not left.any():
-        return out
     patterns = _patterns(left, size)
-    wanted = np.floor(nnls(patterns, left)).astype(np.int64)
-    order = sorted(range(len(patterns)), key=lambda i: (size - sum(patterns[i]), -wanted[i]))
-    for i in order:
-        if sum(patterns[i]) < 0.99 * size:
-            continue
+    wanted = rounded(patterns, nnls(patterns, left, size))
+    # The fullest first, so that what the rounding asked for too often is missing from the others.
+    for i in sorted(np.flatnonzero(wanted).tolist(), key=lambda i: (size - sum(patterns[i]), -wanted[i])):
         need = np.bincount(patterns[i], minlength=len(left))
         at = np.flatnonzero(need)
         n = min(int(wanted[i]), int((left[at] // need[at]).min()))
-        if n > 0:
+        if n > 0 and sum(patterns[i]) >= LEAST_FILL * size:
             left[at] -= n * need[at]
             out.append((patterns[i], n))
+    return out, left
+
+
+def plan(hist: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, count) pairs that use up the histogram exactly."""
+    if not hist.any():
+        return []
+    out, left = by_patterns(hist, size)
     # Residuals: best fit on lengths with counts, the longest first.
     while left.any():
         a = int(np.flatnonzero(left)[-1])
