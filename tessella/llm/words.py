@@ -1,16 +1,21 @@
 """Vectorised words and word fingerprints over UTF-8 buffers.
 
-A word's fingerprint is a polynomial over random 64-bit images of its bytes,
-modulo 2**64 with an odd base, so all words of a buffer come from one
-cumulative sum. A-Z is folded to a-z; other characters count as they are.
+A word's fingerprint is a mix of its bytes read as whole numbers (longer words:
+their XXH3 hash). A-Z is folded to a-z; other characters count as they are.
+``prefix_sums`` are polynomials modulo 2**64, for choosing positions only:
+texts can be made up whose polynomials collide.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20
+#: Words of at most so many bytes are read as two numbers.
+PACKED = 16
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _PUNCT = _SPACE.copy()
@@ -19,7 +24,6 @@ for _c in range(128):
         _PUNCT[_c] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_IMAGE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**64, 256, dtype=np.uint64)[_LOWER]
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -53,10 +57,6 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def fold(text: np.ndarray) -> np.ndarray:
-    return _IMAGE[text]
-
-
 def words(text: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and fingerprint of each word; words never cross rows.
 
@@ -82,17 +82,19 @@ def words(text: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> t
 
 
 def _fingerprints(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE, "right")))
-        low, high = starts[i], ends[j - 1]
-        sums = prefix_sums(fold(text[low:high]))
-        up, _ = powers(high - low + 2)
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * up[s]
-        out[i:j] += (e - s).astype(np.uint64)
-        i = j
+    """Of each word's folded bytes: up to ``PACKED`` bytes as two whole numbers, longer ones by XXH3."""
+    folded = np.zeros(len(text) + PACKED, np.uint8)
+    folded[:len(text)] = _LOWER[text]
+    eights = np.ndarray(len(text) + PACKED - 7, "<u8", folded, strides=(1,))
+    size = ends - starts
+    first, second = eights[starts], eights[np.minimum(starts + 8, len(eights) - 1)]
+    first = first & _MASKS[np.minimum(size, 8)]
+    second = second & _MASKS[np.clip(size - 8, 0, 8)]
+    out = mix(mix(first ^ np.uint64(BASE)) + second * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64))
+    long = np.flatnonzero(size > PACKED)
+    if len(long):
+        view = memoryview(folded)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
     return out
 
 
