@@ -6,8 +6,8 @@ Lines take their document's label for fitting. Forward-backward marginals,
 weighted by line length, give the share of good text, and a logistic function
 of that share (and of the worst stretch) is the document's score.
 
-``PER_CLASS`` bounds the labelled sample; the logistic function is fitted with
-each class weighted to its share of all training labels. All texts are scored
+``PER_CLASS`` rows and ``sampling.CLASS_BYTES`` bytes of each class bound the
+labelled sample; the logistic function is fitted with each class weighted to its share of all training labels. All texts are scored
 whole.
 
 Defined results: null, empty or blank text has no lines and gets the share of

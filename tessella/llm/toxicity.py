@@ -8,7 +8,8 @@ forward-backward marginals give each token's probability. A document's score
 is a logistic function of its highest marginal and of the expected number of
 toxic tokens, and runs of likely tokens are returned as spans.
 
-``PER_CLASS`` bounds the labelled sample, of which near copies count once; the
+``PER_CLASS`` rows and ``sampling.CLASS_BYTES`` bytes of each class bound the
+labelled sample, of which near copies count once; the
 logistic function is fitted with each class weighted to its share of all
 training labels. All texts are scored whole.
 
@@ -73,7 +74,7 @@ def _lexicon(tokens, y: np.ndarray, totals: np.ndarray) -> list[tuple[np.ndarray
     """
     found, rows = [], []
     for k in range(1 + len(PREFIXES)):
-        each = [np.unique(t[k]) for t in tokens]
+        each = [t[k] for t in tokens]
         keys, at = np.unique(np.concatenate(each), return_inverse=True)
         sizes = [len(e) for e in each]
         label, doc = np.repeat(y, sizes), np.repeat(np.arange(len(each)), sizes)
@@ -113,11 +114,27 @@ def _summary(p: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([high, np.log1p(np.bincount(rows, p, minlength=n))])
 
 
+def _groups(offsets: np.ndarray, chosen: np.ndarray):
+    """The chosen texts in groups of about ``_SLICE`` bytes."""
+    sizes = np.concatenate([[0], np.cumsum(np.diff(offsets)[chosen])])
+    return [chosen[low:high] for low, high in slices(sizes, _SLICE)]
+
+
+def _joined(text: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [text[offsets[r]:offsets[r + 1]] for r in group]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_CLASS):
-    """The model (tables, weights, transitions, document weights), or None without labels of both kinds."""
+    """The model (tables, weights, transitions, document weights), or None without labels of both kinds.
+
+    The sample's texts are gone through three times, a slice at a time: for
+    the tokens each document has, for the stretches to fit on, and for the
+    documents' summaries; the features of all tokens are never held at once.
+    """
     texts, y, counts = labelled(docs, labels, "toxic", train, per_class)
     text, offsets = text_bytes(texts)
-    kept_y, tokens, seen = [], [], set()
+    chosen, kept_y, tokens, lengths, seen = [], [], [], [], set()
     for r in range(len(y)):
         part = text[offsets[r]:offsets[r + 1]]
         _, _, rows, kinds = _tokens(part, np.array([0, len(part)]))
@@ -127,29 +144,40 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PER_
             if len(marks & seen) >= 3:
                 continue
             seen |= marks
+        chosen.append(r)
         kept_y.append(y[r])
-        tokens.append(kinds)
-    y = np.array(kept_y)
+        lengths.append(len(rows))
+        tokens.append([np.unique(k) for k in kinds])
+    y, chosen, lengths = np.array(kept_y, int), np.array(chosen, int), np.array(lengths, int)
     if not (y == 0).any() or not (y == 1).any():
         return None
-    totals = np.array([(y == 0).sum(), (y == 1).sum()])
-    tables = _lexicon(tokens, y, totals)
-    lengths = np.array([len(t[0]) for t in tokens])
-    rows = np.repeat(np.arange(len(tokens)), lengths)
-    x = _features([np.concatenate([t[k] for t in tokens]) for k in range(1 + len(PREFIXES))], rows, tables)
-    token_y = (x[:, 1] >= _LEAST_ODDS) & (y[rows] == 1)
-    # Chains for fitting: stretches of at most 128 tokens of one document.
-    cut = np.concatenate([np.full(-(-n // 128), 128) for n in lengths if n]) if lengths.any() else np.zeros(0, int)
-    ends = np.cumsum(-(-lengths // 128))
-    for e, n in zip(ends, lengths):
-        if n:
-            cut[e - 1] = (n - 1) % 128 + 1
-    stretch = np.repeat(np.arange(len(cut)), cut)
-    some = np.zeros(len(cut), bool)
-    some[np.linspace(0, len(cut) - 1, min(STRETCHES, len(cut))).astype(int)] = True
-    weights, trans = crf.train(x[some[stretch]], token_y[some[stretch]], cut[some], rounds=100, rate=0.2)
-    p = crf.Chain(lengths[lengths > 0]).marginals(x @ weights, trans)
-    return tables, weights, trans, crf.logistic(_summary(p, rows, len(tokens)), y, class_weights(y, counts))
+    tables = _lexicon(tokens, y, np.array([(y == 0).sum(), (y == 1).sum()]))
+    del tokens
+    # Chains for fitting: stretches of at most 128 tokens of one document, evenly among all of them.
+    per = -(-lengths // 128)
+    some = np.unique(np.linspace(0, per.sum() - 1, min(STRETCHES, per.sum())).astype(int))
+    firsts, at = np.cumsum(per) - per, 0
+    x_some, y_some, sizes = [], [], []
+    for group in _groups(offsets, chosen):
+        _, _, rows, kinds = _tokens(*_joined(text, offsets, group))
+        x = _features(kinds, rows, tables)
+        begins = np.searchsorted(rows, np.arange(len(group)))
+        for d in range(len(group)):
+            for k in some[(some >= firsts[at + d]) & (some < firsts[at + d] + per[at + d])] - firsts[at + d]:
+                low = begins[d] + 128 * k
+                high = min(low + 128, begins[d] + lengths[at + d])
+                x_some.append(x[low:high])
+                y_some.append((x[low:high, 1] >= _LEAST_ODDS) & (y[at + d] == 1))
+                sizes.append(high - low)
+        at += len(group)
+    weights, trans = crf.train(np.concatenate(x_some), np.concatenate(y_some), np.array(sizes), rounds=100, rate=0.2)
+    del x_some, y_some
+    summaries = []
+    for group in _groups(offsets, chosen):
+        _, _, rows, kinds = _tokens(*_joined(text, offsets, group))
+        n = np.bincount(rows, minlength=len(group))
+        summaries.append(_summary(crf.Chain(n[n > 0]).marginals(_features(kinds, rows, tables) @ weights, trans), rows, len(group)))
+    return tables, weights, trans, crf.logistic(np.concatenate(summaries), y, class_weights(y, counts))
 
 
 def score(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
