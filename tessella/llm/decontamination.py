@@ -17,7 +17,8 @@ broadcast.
 Words are runs of letters, digits and non-ASCII characters, A-Z folded.
 Defined results: null texts count as empty; an item with fewer than n words
 has no seeds and no matches; repeated rows are aligned one by one and reported
-once per (doc_id, item_id) with the best score; empty tables give an empty
+once per (doc_id, item_id) with the best score, rows without a doc_id as one;
+empty tables give an empty
 result; extra columns are ignored.
 """
 
@@ -36,6 +37,8 @@ STRIDE = 4
 LEAST_SCORE = 0.5
 SHARD_BYTES = 8 << 20
 PAD = 12
+#: Words in a block of windows that is aligned at once.
+ALIGNED = 1 << 19
 _SLICE = 1 << 20
 
 
@@ -87,7 +90,7 @@ def _hits(docs: DataFrame, shared, n: int, stride: int) -> DataFrame:
     def run(batches):
         items = shared.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("doc_id").to_pylist()
             text, offsets = text_bytes(batch.column("text"))
             out = []
             for first, last in slices(offsets, _SLICE):
@@ -109,7 +112,7 @@ def _hits(docs: DataFrame, shared, n: int, stride: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])])) if len(at) else []
                 for i, j in zip(new, [*new[1:], len(at)]):
                     a, b = int(low[i:j].min()), int(high[i:j].max())
-                    out.append((int(ids[first + row[i]]), int(item[i]), len(np.unique(place[i:j] // stride)), prints[a:b].tobytes()))
+                    out.append((ids[first + row[i]], int(item[i]), len(np.unique(place[i:j] // stride)), prints[a:b].tobytes()))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "item", "seeds", "words"])
 
@@ -144,8 +147,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = GRAM, stride: int =
                 out = []
                 for item, rows in due.items():
                     rows.sort(key=lambda r: len(r[2]))
-                    for i in range(0, len(rows), 64):
-                        block = rows[i:i + 64]
+                    i = 0
+                    while i < len(rows):
+                        # The longest row of a block sets its width; long windows are aligned alone.
+                        take = max(1, min(64, ALIGNED // max(1, len(rows[min(i + 63, len(rows) - 1)][2]))))
+                        block = rows[i:i + take]
+                        i += take
                         padded = np.zeros((len(block), len(block[-1][2])), np.uint64)
                         for r, (_, _, w) in enumerate(block):
                             padded[r, :len(w)] = w
