@@ -3,14 +3,25 @@
 A stage reads what its predecessor wrote: toxic documents go, one copy of each
 group of equal texts stays, one document of each near-duplicate component
 stays, documents that hold a benchmark passage go, and the rest is packed.
+
+Defined results: a null or empty text counts as empty: it is scored as the
+toxicity model scores a text without tokens, all empty texts are copies of each
+other, and what stays of them is no near copy, holds no passage and packs as
+one id. Of rows that repeat a doc_id and (but for blanks) the text, one stays,
+the longest; rows with one doc_id and different texts are judged by their texts
+in the dedup of equal texts, and by their doc_id in the stages that drop. Rows
+without a doc_id are kept by both dedups, as nothing tells one from another,
+and judged one by one by the stages that drop. An empty table gives an empty
+result at every stage; further columns, whatever their names, go through.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from tessella.llm.common import materialize, table
+from tessella.llm.common import discard_paths, materialize, open_stages, table
 from tessella.llm.registry import ship
 from tessella.llm.sampling import fold
 
@@ -44,7 +55,18 @@ def drop_toxic(spark, docs, sf_dir):
 def drop_copies(spark, docs, sf_dir):
     """Keep the longest (then first) document of each group of equal texts."""
     ship(spark)
-    return _keep(docs, exact_dedup.exact_duplicates(docs))
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again")
+    if not again.head(1):
+        return _keep(docs, exact_dedup.exact_duplicates(docs))
+    # Rows that repeat a doc_id: one of each text, and from then on they are told apart by their text.
+    again = materialize(again)
+    norm = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    first = Window.partitionBy("doc_id", norm).orderBy(F.length(F.coalesce("text", F.lit(""))).desc(), "text")
+    several = docs.join(again, F.col("doc_id") == F.col("again"), "left_semi")
+    several = several.select(F.struct(*docs.columns).alias("row"), F.row_number().over(first).alias("turn")).where("turn = 1").select("row.*")
+    docs = materialize(docs.join(again, F.col("doc_id") == F.col("again"), "left_anti").unionByName(several))
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    return docs.join(kept, (F.col("doc_id") == F.col("kept_id")) & (norm == F.col("kept_sha")), "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def drop_near_copies(spark, docs, sf_dir):
@@ -71,5 +93,9 @@ STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup",
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = open_stages()
+        out = materialize(stage(spark, docs, sf_dir))
+        # What the stage left behind, and its own input, are needed no more.
+        discard_paths(spark, (open_stages() - before - {out._stage_path}) | ({docs._stage_path} if hasattr(docs, "_stage_path") else set()))
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
