@@ -9,18 +9,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_open: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Clusters name it in ``spark.checkpoint.dir``; only where that is unset (as
-    in local tests) a folder of our own is chosen.
+    Clusters name it in ``spark.checkpoint.dir``; only where that is unset and
+    the master is local, as in tests, a folder of our own is chosen. Stage
+    folders that operators still refer to when they return lie in one folder
+    for each application.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return f"{path}/tessella-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -34,6 +40,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    _open.add(path)
     # Lets Spark's cleaner drop the shuffle files of finished stages that nothing refers to any more.
     spark._jvm.System.gc()
     return out
@@ -42,10 +49,23 @@ def materialize(df: DataFrame) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete what ``materialize`` wrote for frames that are no longer needed."""
     for df in frames:
+        _open.discard(df._stage_path)
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def open_stages() -> set[str]:
+    """Paths of the stage outputs that are not discarded yet."""
+    return set(_open)
+
+
+def discard_paths(spark: SparkSession, paths) -> None:
+    for name in paths:
+        _open.discard(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,23 +16,23 @@ independent trees bring a pair at the threshold (0.75) together but for a
 chance of (1 - 0.75^k)^trees, k being the level at which it meets: with 24
 trees 2.4e-9 at level 2, 1.9e-6 at level 3 and 1.1e-4 at level 4. Candidate pairs
 whose sketches put them far below the threshold are left out by an estimate
-five standard errors wide; all others are confirmed on their full sets.
+more than five standard errors wide (a chance of 4e-8 at 0.75); all others are confirmed on their full sets.
 Components come from alternating star contraction of the confirmed links.
 
 Defined results: null or wordless text is an empty set, linked with nothing;
 a text with fewer words than a shingle is one shingle; equal texts are linked;
 a null doc_id is never the one to keep and gets
-a null kept; an empty table gives an empty result; extra columns are ignored.
+a null kept; rows that repeat a doc_id are classes by their own sets; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_bytes
+from .common import discard, materialize, slices, text_bytes
 from .url_filter import block_of, bloom_filter, mask_of
 from .words import mix, shingles, words
 
@@ -45,9 +45,10 @@ MAX_BLOCKS = 1 << 20
 _SLICE = 1 << 20
 #: Members in a block of a crowded node, and members a task streams past one block.
 BLOCK = 256
+BLOCK_BYTES = 32 << 20
 STREAM = 8192
-#: Below this estimate of the similarity a pair is left out (five standard errors under 0.75 with 96 coordinates).
-_LEAST_ESTIMATE = 0.53
+#: Below this estimate of the similarity a pair is left out (5.7 standard errors under 0.75 with 96 coordinates: a chance of 4e-8).
+_LEAST_ESTIMATE = 0.5
 
 
 def _sets(batch: pa.RecordBatch, width: int):
@@ -116,13 +117,13 @@ def _paths(classes: DataFrame, trees: int, levels: tuple[int, ...]) -> DataFrame
                     node = mix(node * np.uint64(0xD6E8FEB86659FD93) + raw[:, t * deep + d])
                     if d + 1 in levels:
                         out.append(pa.array(node.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *out], ["rep", *(f"node_{k}" for k in range(len(out)))])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), t, np.int32)), *out], ["rep", "tree", *(f"node_{k}" for k in range(len(out)))])
 
-    return classes.select("rep", "sketch").mapInArrow(run, "rep long, " + ", ".join(f"node_{k} long" for k in range(len(levels))))
+    return classes.select("rep", "sketch").mapInArrow(run, "rep long, tree int, " + ", ".join(f"node_{k} long" for k in range(len(levels))))
 
 
 def candidates(classes: DataFrame, trees: int = TREES, levels: tuple[int, ...] = LEVELS, small_node: int = SMALL_NODE) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of classes that meet in a small node or at a pivot, and the members (node, rep) of nodes crowded at the last level."""
+    """Distinct pairs (a < b) of classes that meet in a small node or at a pivot, and the members (node, tree, rep) of nodes crowded at the last level."""
     rows = _paths(classes, trees, levels)
     found = []
     for k in range(len(levels)):
@@ -136,7 +137,7 @@ def candidates(classes: DataFrame, trees: int = TREES, levels: tuple[int, ...] =
         rows = rows.where(F.col("size") > small_node)
         if k == len(levels) - 1:
             found.append(rows.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).where("a < b"))
-            crowded = rows.select(F.col(node).alias("node"), "rep")
+            crowded = rows.select(F.col(node).alias("node"), "tree", "rep")
         rows = rows.drop("size", "pivot")
     out = found[0]
     for x in found[1:]:
@@ -144,12 +145,16 @@ def candidates(classes: DataFrame, trees: int = TREES, levels: tuple[int, ...] =
     return out.distinct(), crowded
 
 
-def crossing(crowded: DataFrame, classes: DataFrame, found: DataFrame, block: int = BLOCK, stream: int = STREAM) -> DataFrame:
-    """Pairs (a < b) of members of one crowded node that lie in different components and whose sketches allow a link.
+def crossing(crowded: DataFrame, classes: DataFrame, found: DataFrame, docs: DataFrame, width: int, percent: int, trees: int = TREES, block: int = BLOCK, stream: int = STREAM) -> DataFrame:
+    """Links (a < b) between members of one crowded node that lie in different components, found on full sets.
 
     Members outside the node's largest component form blocks of about
-    ``block``; all members stream past them, at most about ``stream`` a task,
-    so neither a node nor a block has to fit in one task.
+    ``block`` members and ``BLOCK_BYTES``; all members stream past them, at
+    most about ``stream`` a task, so neither a node nor a block has to fit in
+    one task. Pairs are compared where they meet and never become rows: a task
+    returns only links that join components it still knew as apart, fewer than
+    it has members. A pair that an earlier tree has brought into one node is
+    left to that tree.
     """
     of = found.select(F.col("node").alias("rep"), "component")
     rows = crowded.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -157,9 +162,11 @@ def crossing(crowded: DataFrame, classes: DataFrame, found: DataFrame, block: in
     mixed = sizes.groupBy("node").agg(F.max(F.struct("n", "component")).getField("component").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
     rows = materialize(rows.join(mixed, "node").join(classes.select("rep", "n_shingles", "sketch"), "rep")
                        .withColumn("loose", F.col("component") != F.col("main")).withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(1.34)))).drop("main"))
+    sets = full_sets(rows.select(F.col("rep").alias("doc_id")).distinct(), docs, width)
     # Sizes of linked sets differ by a third at most, so by one band at most.
-    near = rows.select("rep", "node", "component", "n_shingles", "sketch", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    blocks = rows.where("loose").groupBy("node", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_blocks"))
+    near = rows.select("rep", "node", "tree", "component", "n_shingles", "sketch", "loose", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    bytes_ = F.sum(F.col("n_shingles") * 8)
+    blocks = rows.where("loose").groupBy("node", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, bytes_ / BLOCK_BYTES)).cast("int").alias("n_blocks"))
     streams = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / stream).cast("int").alias("n_streams"))
     plan = materialize(blocks.join(streams, "node"))
 
@@ -172,39 +179,67 @@ def crossing(crowded: DataFrame, classes: DataFrame, found: DataFrame, block: in
     held = rows.where("loose").join(plan, ["node", "band"]).withColumn("block", part("n_blocks", 1)).withColumn("stream", copies("n_streams")).withColumn("passes", F.lit(False))
     moving = near.join(plan, ["node", "band"]).withColumn("stream", part("n_streams", 2)).withColumn("block", copies("n_blocks")).withColumn("passes", F.lit(True))
     key = ["node", "band", "block", "stream"]
-    columns = [*key, "passes", "rep", "component", "n_shingles", "sketch"]
-    lined = held.select(columns).unionByName(moving.select(columns)).repartition(*key).sortWithinPartitions(*key, "passes")
+    columns = [*key, "passes", "rep", "tree", "component", "n_shingles", "loose", "sketch", "set"]
+    both = held.select(columns[:-1]).unionByName(moving.select(columns[:-1])).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    lined = both.select(columns).repartition(*key).sortWithinPartitions(*key, "passes", "rep")
 
     def run(batches):
-        last, ids, parts, counts, tokens = None, [], [], [], []
+        last, ids, parts, counts, tokens, whole, joined = None, [], [], [], [], [], {}
+
+        def root(x):
+            while joined.get(x, x) != x:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in key])
-            passes = batch.column("passes").to_numpy(zero_copy_only=False)
-            rep, component, n = (batch.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+            passes, loose = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("passes", "loose"))
+            rep, tree, component, n = (batch.column(c).to_numpy() for c in ("rep", "tree", "component", "n_shingles"))
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(len(rep), -1)
+            some = batch.column("set")
             turn = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0) | (passes[1:] != passes[:-1])) + 1
             a, b = [], []
             for low, high in zip([0, *turn], [*turn, len(rep)]):
                 here = tuple(keys[:, low])
                 if here != last:
-                    last, ids, parts, counts, tokens = here, [], [], [], []
+                    last, ids, parts, counts, tokens, whole, joined = here, [], [], [], [], [], {}
                 if not passes[low]:
                     ids += rep[low:high].tolist()
                     parts += component[low:high].tolist()
                     counts += n[low:high].tolist()
                     tokens += list(sketch[low:high].copy())
+                    whole += [np.frombuffer(some[k].as_py(), np.uint64) for k in range(low, high)]
                     continue
                 for i, who in enumerate(ids):
-                    fits = np.flatnonzero((component[low:high] != parts[i]) & (100 * np.minimum(n[low:high], counts[i]) >= 75 * np.maximum(n[low:high], counts[i])))
-                    fits = fits[(sketch[low:high][fits] == tokens[i]).mean(axis=1) >= _LEAST_ESTIMATE] if len(fits) else fits
-                    other = rep[low:high][fits]
-                    a.append(np.minimum(other, who))
-                    b.append(np.maximum(other, who))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], ["a", "b"])
-
-    return lined.mapInArrow(run, "a long, b long").distinct()
+                    apart = (component[low:high] != parts[i]) & (~loose[low:high] | (rep[low:high] > who))
+                    fits = np.flatnonzero(apart & (100 * np.minimum(n[low:high], counts[i]) >= percent * np.maximum(n[low:high], counts[i])))
+                    if not len(fits):
+                        continue
+                    same = sketch[low:high][fits] == tokens[i]
+                    ok = same.mean(axis=1) >= _LEAST_ESTIMATE
+                    if tree[low]:
+                        ok &= ~same.reshape(len(fits), trees, -1)[:, :tree[low]].all(axis=2).any(axis=1)
+                    for k in (fits[ok] + low).tolist():
+                        x, y = root(parts[i]), root(int(component[k]))
+                        if x != y and _alike(whole[i], np.frombuffer(some[k].as_buffer(), np.uint64), percent):
+                            joined[max(x, y)] = min(x, y)
+                            a.append(min(who, int(rep[k])))
+                            b.append(max(who, int(rep[k])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    out = materialize(lined.mapInArrow(run, "a long, b long").distinct())
+    discard(rows, plan, sets)
+    return out
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """percent * union <= 100 * intersection of two sorted sets."""
+    at = np.searchsorted(x, y)
+    shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -225,9 +260,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with percent * union <= 100 * intersection, on the full sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def full_sets(needed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set): the sorted shingle fingerprints of the documents with the ids of ``needed``."""
 
     def whole(batches):
         for batch in batches:
@@ -243,21 +277,27 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     bits = bloom_filter(needed.select(F.col("doc_id").alias("canonical")), blocks)
     texts = (texts.withColumn("block", block_of(F.col("doc_id"), blocks)).withColumn("mask", mask_of(F.col("doc_id"))).join(F.broadcast(bits), "block")
              .where(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")).select("doc_id", "text"))
-    sets = materialize(texts.join(needed, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, set binary"))
+    sets = texts.join(needed, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, set binary")
+    # Rows that repeat a doc_id: equal sets count once; of different ones the first.
+    out = materialize(sets.groupBy("doc_id").agg(F.min("set").alias("set")))
+    discard(needed)
+    return out
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs with percent * union <= 100 * intersection, on the full sets."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, width)
     both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
             .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a"))
 
     def run(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                shared = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    discard(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,12 +315,16 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(both.join(least, "u").where("v > u and v > m").select(F.col("m").alias("u"), "v").distinct())
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("v").alias("v")), F.struct(F.col("m").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").where("u < v").distinct()
-        edges = materialize(small)
+        after = materialize(small)
+        discard(edges, large)
+        edges = after
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(now) == before:
             break
         before = tuple(now)
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    out = materialize(edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component")))
+    discard(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: int = TREES, levels: tuple[int, ...] = LEVELS, small_node: int = SMALL_NODE) -> DataFrame:
@@ -291,13 +335,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, trees: i
     groups = materialize(some.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")).where("rep is not null"))
     met, crowded = candidates(groups, trees, levels, small_node)
     pairs = materialize(_estimated(met, groups))
-    links = materialize(_confirmed(pairs, docs, width, percent))
-    found = materialize(components(links))
-    more = materialize(crossing(crowded, groups, found))
+    links = _confirmed(pairs, docs, width, percent)
+    found = components(links)
+    more = crossing(crowded, groups, found, docs, width, percent, trees)
+    discard(pairs, links)
     if more.head(1):
         # Contracted: the links found so far count as each node's link to its component.
         joined = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        found = components(joined.unionByName(_confirmed(more, docs, width, percent)))
+        found = components(joined.unionByName(more))
     classes = groups.drop("sketch").join(found, groups.rep == found.node, "left").select(*keys, F.coalesce("component", "rep").alias("c"))
     return (sketched.drop("sketch").join(classes, keys, "left")
             .select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

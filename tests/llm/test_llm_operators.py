@@ -79,9 +79,9 @@ def test_crowded_nodes_keep_links_outside_the_pivot(spark):
     # Small blocks and streams give the same pairs.
     docs = frame(spark, texts)
     sketched = near_dedup.sketches(docs, size=96).withColumnRenamed("doc_id", "rep")
-    crowded, found = sketched.selectExpr("1L AS node", "rep"), spark.createDataFrame([], "node long, component long")
-    pairs = [{(r.a, r.b) for r in near_dedup.crossing(crowded, sketched, found, *sizes).collect()} for sizes in ((256, 8192), (3, 7))]
-    assert pairs[0] == pairs[1] and {(i, i + 1) for i in range(0, 60, 2)} <= pairs[0]
+    crowded, found = sketched.selectExpr("1L AS node", "0 AS tree", "rep"), spark.createDataFrame([], "node long, component long")
+    links = [{(r.a, r.b) for r in near_dedup.crossing(crowded, sketched, found, docs, 5, 75, 24, *sizes).collect()} for sizes in ((256, 8192), (3, 7))]
+    assert links[0] == links[1] == {(i, i + 1) for i in range(0, 60, 2)}
 
 
 def test_exact_dedup(spark):
