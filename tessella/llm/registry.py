@@ -13,11 +13,13 @@ from . import chat_format, decontamination, exact_dedup, near_dedup, packing, qu
 from .common import table
 from .sampling import fold
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = Path(__file__).resolve().parents[2]
 
 
 def ship(spark) -> None:
     """Send this package to the executors, unless their path has it already."""
+    _small_batches(spark)
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_tessella_shipped", False):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella.zip")
@@ -28,6 +30,12 @@ def ship(spark) -> None:
     spark.sparkContext._tessella_shipped = True
 
 
+def _small_batches(spark) -> None:
+    """Rows of whole texts or sets go to Python in smaller batches than Spark's 10,000, unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
+
+
 def op6_chat(spark, sf_dir):
     said = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,15 +43,16 @@ def op6_chat(spark, sf_dir):
     return chat_format.read_back(chat_format.examples(turns.unionByName(extra)))
 
 
-#: The query's list: the canonical URLs of the pages on these hosts, with or without ``www.`` or other subdomains (a fixed parameter).
+#: The query's list, as no table holds one: the canonical URLs of the pages on these hosts (or below them), and of those whose canonical URL's MD5 is under ``LISTED_BELOW`` (one in 64, whatever the host). Fixed parameters.
 LISTED_HOSTS = ("spam-farm",)
+LISTED_BELOW = "04"
 
 
 def op7_urls(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host = url_filter.host_of(F.col("url"))
-    spam = pages.where(url_filter.on_listed_host(host, LISTED_HOSTS))
-    return url_filter.judge(pages, spam.select(url_filter.canonical(host, url_filter.path_of(F.col("url"))).alias("canonical")))
+    known = pages.select(host.alias("host"), url_filter.canonical(host, url_filter.path_of(F.col("url"))).alias("canonical"))
+    return url_filter.judge(pages, known.where(url_filter.on_listed_host(F.col("host"), LISTED_HOSTS) | (F.md5("canonical") < LISTED_BELOW)).select("canonical"))
 
 
 def op8_exact_dedup(spark, sf_dir):
@@ -71,7 +80,7 @@ def op3_quality(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
-    return _judged(toxicity.score(docs, model), 5, 0, 0.5, F.size("spans").cast("long").alias("n_spans"))
+    return _judged(toxicity.score(docs, model), 5, 0, 0.5, F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
 
 
 def op5_secrets(spark, sf_dir):
@@ -115,7 +124,7 @@ def _oracle_urls() -> str:
     return rf"""
 WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '(\.html)?/*$', '') AS canonical FROM p),
-listed AS (SELECT DISTINCT canonical FROM c WHERE split_part(host, '.', 1) IN ('spam-farm') AND canonical <> ''),
+listed AS (SELECT DISTINCT canonical FROM c WHERE (list_contains(string_split(regexp_replace(host, '^www\.', ''), '.'), 'spam-farm') OR md5(canonical) < '04') AND canonical <> ''),
 r(action, h, prefix) AS (VALUES {rules}),
 m AS (SELECT page_id, arg_max(h || prefix, length(h || prefix)) AS rule, arg_max(action, length(h || prefix)) AS action
       FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, prefix) GROUP BY page_id)
