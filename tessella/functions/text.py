@@ -80,7 +80,3 @@ def windows(t: Column, size: int = 24, step: int = 8) -> Column:
     """Windows of ``size`` characters every ``step``: interleaved runs, so that the text is walked a few times only."""
     runs = [F.regexp_extract_all(F.substr(t, F.lit(1 + k)), F.lit(f"(?s).{{{size}}}"), F.lit(0)) for k in range(0, size, step)]
     return F.concat(*runs)
-
-
-def year_list(t: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"(?<![0-9])((?:18|19|20)[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))))

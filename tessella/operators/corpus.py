@@ -1,4 +1,4 @@
-"""Corpus operators: quality gate, three dedup levels (L2 documents, L3 paragraphs, L4 windows), splits, profiling.
+"""Corpus operators: quality gate, owners of documents and paragraphs, pairs by shared windows, splits. Levels with source priority are in ``dedup``.
 
 All are plain plans over ``documents``-like frames (doc_id, text, source).
 """
@@ -20,16 +20,17 @@ def clean(docs: DataFrame) -> DataFrame:
 def quality_cascade(docs: DataFrame, least_chars: int = 50, least_letters: float = 0.55, most_symbols: float = 0.25, script: str = "letters") -> DataFrame:
     """Adds ``reason``: the first rule a document fails, null if it is kept."""
     ratio = T.cjk_ratio(F.col("text")) if script == "cjk" else T.letter_ratio(F.col("text"))
-    reason = (F.when(F.length("text") < least_chars, "too_short").when(ratio < least_letters, "low_letters")
+    reason = (F.when(F.coalesce(F.length("text"), F.lit(0)) < least_chars, "too_short").when(ratio < least_letters, "low_letters")
               .when(T.symbol_ratio(F.col("text")) > most_symbols, "symbols").when(F.col("text").rlike(r"http://|www\."), "url"))
     return docs.withColumn("reason", reason)
 
 
 def dedup_documents(docs: DataFrame, order: list) -> DataFrame:
-    """Adds ``owner``: the first document with the same text by ``order``."""
+    """Adds ``owner``: the first document with the same text by ``order``; null text counts as empty."""
     # The first of a group is an aggregate, so that large groups combine in the map tasks.
-    firsts = docs.groupBy(F.sha1("text").alias("sha")).agg(F.min_by("doc_id", F.struct(*order)).alias("owner"))
-    return docs.withColumn("sha", F.sha1("text")).join(firsts, "sha").drop("sha")
+    sha = F.sha1(F.coalesce("text", F.lit("")))
+    firsts = docs.groupBy(sha.alias("sha")).agg(F.min_by("doc_id", F.struct(*order)).alias("owner"))
+    return docs.withColumn("sha", sha).join(firsts, "sha").drop("sha")
 
 
 def paragraph_rows(docs: DataFrame) -> DataFrame:
@@ -70,21 +71,6 @@ def pair_jaccard(docs: DataFrame, pairs: DataFrame, size: int = 24, step: int =
     return both.select("a", "b", "c", F.round(shared / (F.size("x") + F.size("y") - shared), 6).alias("similarity"))
 
 
-def greedy_losers(scored: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs in order of shared windows; the smaller id is dropped unless either end was dropped before (a bounded top-k list)."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for r in pdf.sort_values(["c", "a", "b"], ascending=[False, True, True]).itertuples():
-            if r.similarity >= least and r.a not in gone and r.b not in gone:
-                gone.add(r.a)
-                out.append((r.a, r.b, r.similarity))
-        return pd.DataFrame(out, columns=["doc_id", "dup_of", "similarity"])
-
-    return scored.groupBy(F.lit(1).alias("g")).applyInPandas(run, "doc_id long, dup_of long, similarity double")
-
-
 def window_overlap(docs: DataFrame, other: DataFrame) -> DataFrame:
     """doc_id, n windows sampled, matched: windows that ``other`` (id, text) also has."""
     mine = sampled_windows(docs, digits="0123")
@@ -104,11 +90,5 @@ def split_with_coverage(docs: DataFrame, work, author, category, size) -> DataFr
     return d.select("doc_id", "split0", "split1", F.coalesce(forced, F.col("split1")).alias("split"))
 
 
-def lower_quantile(values, q: float):
-    """The element at floor(q * (n - 1)) of the sorted values."""
-    v = F.array_sort(F.collect_list(values))
-    return F.element_at(v, F.floor(F.lit(q) * (F.size(v) - 1)).cast("int") + 1)
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

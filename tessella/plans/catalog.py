@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, logs, packing
+from ..operators import corpus, dedup, evaluate, logs, packing
 from ..sources import readers
+from ..stage import materialize, row_numbers, running_total
 from ..streaming import tail
+from . import more
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -44,10 +46,8 @@ SHARED = {
     "last_write_wins": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1",
     "lag_delta": "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS delta FROM events",
     "segments": "SELECT user_id, segment, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS segment FROM events) x GROUP BY user_id, segment",
-    "cumulative_tokens": "SELECT doc_id, lang, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS upto FROM documents",
     "natural_mixture": "SELECT lang, round(sum(n_chars) / CAST(sum(sum(n_chars)) OVER () AS DOUBLE), 6) AS share FROM documents GROUP BY lang",
     "mixture_weights": "SELECT lang, round(least(greatest(0.25 / (sum(n_chars) / CAST(sum(sum(n_chars)) OVER () AS DOUBLE)), 0.01), 100), 4) AS weight, CAST(1000000 - sum(n_chars) AS BIGINT) AS gap FROM documents GROUP BY lang",
-    "stride_downsample": "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM events) x WHERE rn % 40 = 0",
     "stride_downsample_users": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events) x WHERE rn % 5 = 0",
     "ratio_pairs": "SELECT conv_id, round(max(CASE WHEN role = 'assistant' THEN length(text) END) / CAST(nullif(max(CASE WHEN role = 'user' THEN length(text) END), 0) AS DOUBLE), 6) AS ratio FROM conversations GROUP BY conv_id",
     "fixed_rotation": "SELECT doc_id, doc_id % 7 AS slot FROM documents WHERE doc_id % 7 = 3",
@@ -72,8 +72,10 @@ def _shared(name: str):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents in and kept, paragraphs dropped, characters removed."""
-    docs = corpus.quality_cascade(corpus.clean(_t(spark, sf_dir, "documents")))
-    kept = corpus.dedup_documents(docs.where("reason is null"), ["doc_id"]).where("owner = doc_id")
+    cleaned = corpus.clean(_t(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(spark.sparkContext.defaultParallelism * 2))
+    # Cleaned text is made once before the rules look at it, and rules once before the branches.
+    docs = materialize(corpus.quality_cascade(materialize(cleaned)))
+    kept = materialize(corpus.dedup_documents(docs.where("reason is null"), ["doc_id"]).where("owner = doc_id"))
     paras = corpus.dedup_paragraphs(kept)
     gone = paras.where("owner <> doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("paras_dropped"), F.sum(F.length("para")).alias("chars_removed"))
     total = docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs_in"))
@@ -144,10 +146,14 @@ def _sketch(spark, sf_dir):
 
 
 def _four_grams(docs):
-    """One row a document; fewer than 5 words (or no text) give null."""
-    w = F.filter(F.split(F.col("text"), r"[ \n]+"), lambda x: x != "")
-    g = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, F.lit(4)), " "))
-    return docs.select("doc_id", w.alias("w")).select("doc_id", F.when(F.size("w") >= 5, g).alias("g")).select("doc_id", F.round(F.size(F.array_distinct("g")) / F.when(F.col("g").isNotNull(), F.size("g")), 3).alias("ratio"))
+    """One row a document; fewer than 5 characters (or no text) give null."""
+    return docs.select("doc_id", evaluate.distinct_ratio(F.col("text")).alias("ratio"))
+
+
+def _losers(docs):
+    kept = corpus.dedup_documents(docs, ["doc_id"]).where("owner = doc_id")
+    scored = corpus.pair_jaccard(kept, corpus.window_pairs(kept, 2, None))
+    return dedup.greedy_drops(dedup.judge_pairs(scored, kept, []))
 
 
 def _stream(spark, sf_dir):
@@ -166,6 +172,8 @@ def _profile(spark, sf_dir):
 
 
 _PLANS = {
+    "stride_downsample": lambda spark, sf_dir: row_numbers(_t(spark, sf_dir, "events").select("event_id", "ts"), [], ["ts", "event_id"]).where("(rn - 1) % 40 = 0").select("event_id"),
+    "cumulative_tokens": _docs(lambda d: running_total(d.select("doc_id", "lang", "n_chars"), ["lang"], ["doc_id"], F.col("n_chars"), "upto").select("doc_id", "lang", "upto")),
     "flagship": flagship,
     "quality_cascade": _docs(_quality),
     "quarantine_by_reason": _docs(lambda d: corpus.quality_cascade(d).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))),
@@ -176,7 +184,7 @@ _PLANS = {
     "owner_matrix": _docs(lambda d: corpus.dedup_paragraphs(d).where("owner <> doc_id").alias("p").join(d.select(F.col("doc_id").alias("owner"), F.col("source").alias("dup_source")), "owner").groupBy("source", "dup_source").agg(F.sum(F.length("para")).alias("chars"))),
     "window_pairs": _docs(_pairs),
     "pair_jaccard": _docs(_jaccard),
-    "neardup_losers": _docs(lambda d: corpus.greedy_losers(_jaccard(d))),
+    "neardup_losers": _docs(_losers),
     "decontam_overlap": lambda spark, sf_dir: corpus.window_overlap(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")),
     "split_hash": _docs(lambda d: d.select("doc_id", T.split_of(F.concat_ws("::", "source", F.col("doc_id").cast("string"))).alias("split"))),
     "split_coverage": _docs(_split),
@@ -211,6 +219,8 @@ _SPLIT = f"CASE WHEN {_BUCKET} < 5 THEN 'test' WHEN {_BUCKET} < 15 THEN 'val' EL
 _SIX = "list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(substr(text, {1 + k}), '(?s).{{24}}')" for k in range(0, 24, 4)) + "))"
 
 _ORACLES = {
+    "stride_downsample": "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn FROM events) x WHERE rn % 40 = 0",
+    "cumulative_tokens": "SELECT doc_id, lang, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS upto FROM documents",
     "quality_cascade": f"SELECT doc_id, length(text) AS n, round({_LETTERS}, 6) AS letters, round({_SYMBOLS}, 6) AS symbols, {_REASON} AS reason FROM documents",
     "quarantine_by_reason": f"SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1",
     "norm_text": f"SELECT doc_id, md5({_CLEAN}) AS digest, length({_CLEAN}) AS n FROM documents",
@@ -235,14 +245,14 @@ _ORACLES = {
     "lr_schedule": "WITH s AS (SELECT unnest(range(55200, 244141, 997)) AS step), c AS (SELECT step, CASE WHEN step < 118181 THEN 55200 WHEN step < 181161 THEN 118181 ELSE 181161 END AS low, CASE WHEN step < 118181 THEN 118181 WHEN step < 181161 THEN 181161 ELSE 244141 END AS high FROM s) SELECT step, round(CASE WHEN step - 55200 < 1000 THEN 3.60865e-5 + (1e-4 - 3.60865e-5) * (step - 55200) / 999.0::DOUBLE WHEN low = 55200 THEN 1e-5 + 4.5e-5 * (1 + cos(pi() * (step - low - 1000) / (high - low - 1001)::DOUBLE)) ELSE 1e-5 + 4.5e-5 * (1 + cos(pi() * (step - low) / (high - low - 1)::DOUBLE)) END, 12) AS lr FROM c",
     "nucleus_topk": "WITH v AS (SELECT vec_id, unnest(embedding) AS logit, generate_subscripts(embedding, 1) - 1 AS token FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token) AS rn FROM v), p AS (SELECT *, exp(logit::DOUBLE) / sum(exp(logit::DOUBLE)) OVER (PARTITION BY vec_id) AS p FROM r WHERE rn <= 20), c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) SELECT vec_id, token, rn FROM c WHERE before IS NULL OR before < 0.5",
     "similarity_sketch": "SELECT label, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 3) AS rr, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE))), 3) AS s FROM embeddings GROUP BY label",
-    "distinct_4gram": r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents WHERE n_chars < 3000), g AS (SELECT doc_id, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) AS g FROM t WHERE len(w) >= 5) SELECT doc_id, round(len(list_distinct(g)) / len(g)::DOUBLE, 3) AS ratio FROM g",
+    "distinct_4gram": "WITH big AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?s).{4}'), regexp_extract_all(substr(text, 2), '(?s).{4}'), regexp_extract_all(substr(text, 3), '(?s).{4}'), regexp_extract_all(substr(text, 4), '(?s).{4}'))) AS x FROM documents WHERE length(text) > 4), c AS (SELECT doc_id, count(DISTINCT x) AS d, count(*) AS n FROM big GROUP BY doc_id) SELECT d.doc_id, round(c.d / c.n::DOUBLE, 3) AS ratio FROM documents d LEFT JOIN c USING (doc_id)",
     "stream_tumbling": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 
 
 def queries():
-    return {n: _shared(n) for n in SHARED} | dict(_PLANS)
+    return {n: _shared(n) for n in SHARED} | dict(_PLANS) | more.queries()
 
 
 def oracle_sql():
-    return dict(SHARED) | dict(_ORACLES)
+    return dict(SHARED) | dict(_ORACLES) | more.oracle_sql()
