@@ -3,7 +3,7 @@
 Documents are tokenised (the ids of the given tokenizer, then id 0) and cut
 into pieces of at most ``size`` tokens; all of a document's pieces but the
 first are full. Only the histogram of piece lengths, at most ``size`` numbers,
-reaches the driver. There patterns of up to three lengths that nearly fill a
+reaches the driver. There patterns of a few lengths that nearly fill a
 sequence are listed, non-negative least squares fits how often each is used,
 the counts are rounded so that their sums are kept, and what the histogram
 holds beyond them is packed by best fit on lengths and counts (never on single
@@ -194,20 +194,30 @@ def rounded(patterns: list[tuple[int, ...]], fit: np.ndarray) -> np.ndarray:
     return np.where(begin, whole, whole - np.concatenate([[0], whole[:-1]])).astype(np.int64)
 
 
-def by_patterns(hist: np.ndarray, size: int = SIZE) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
-    """(pattern, count) pairs that the fit asks for, as far as the histogram holds them, and the histogram of what is left."""
+def by_patterns(hist: np.ndarray, size: int = SIZE, rounds: int = 4) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(pattern, count) pairs that the fit asks for, as far as the histogram holds them, and the histogram of what is left.
+
+    Where rounding asks for more of a length than there is, patterns go
+    without; what they leave is fitted again.
+    """
     left = hist.astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
-    patterns = _patterns(left, size)
-    wanted = rounded(patterns, nnls(patterns, left, size))
-    # The fullest first, so that what the rounding asked for too often is missing from the others.
-    for i in sorted(np.flatnonzero(wanted).tolist(), key=lambda i: (size - sum(patterns[i]), -wanted[i])):
-        need = np.bincount(patterns[i], minlength=len(left))
-        at = np.flatnonzero(need)
-        n = min(int(wanted[i]), int((left[at] // need[at]).min()))
-        if n > 0 and sum(patterns[i]) >= LEAST_FILL * size:
-            left[at] -= n * need[at]
-            out.append((patterns[i], n))
+    for _ in range(rounds):
+        before = int(left.sum())
+        if not before:
+            break
+        patterns = _patterns(left, size)
+        wanted = rounded(patterns, nnls(patterns, left, size))
+        # The fullest first, so that what the rounding asked for too often is missing from the others.
+        for i in sorted(np.flatnonzero(wanted).tolist(), key=lambda i: (size - sum(patterns[i]), -wanted[i])):
+            need = np.bincount(patterns[i], minlength=len(left))
+            at = np.flatnonzero(need)
+            n = min(int(wanted[i]), int((left[at] // need[at]).min()))
+            if n > 0 and sum(patterns[i]) >= LEAST_FILL * size:
+                left[at] -= n * need[at]
+                out.append((patterns[i], n))
+        if before - int(left.sum()) < before // 20:
+            break
     return out, left
 
 
