@@ -29,7 +29,7 @@ def strip(t: Column) -> Column:
 def share_of(t: Column, char_class: str) -> Column:
     """Share of the characters in ``[char_class]``; 0 for empty text."""
     n = F.length(t)
-    return F.when(n > 0, (n - F.length(F.regexp_replace(t, f"[{char_class}]", ""))) / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, (n - F.length(F.regexp_replace(t, f"[{char_class}]+", ""))) / n).otherwise(F.lit(0.0))
 
 
 def cjk_ratio(t: Column) -> Column:
