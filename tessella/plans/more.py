@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import cleaning, corpus, dedup, evaluate, logs, packing
+from ..operators import cleaning, corpus, dedup, evaluate, logs, near, packing
 from ..sources import formats, readers
 from ..stage import lookup, materialize, new_path, running_total
 from ..streaming import tail
@@ -142,7 +142,7 @@ def _unique(d):
 
 
 def _judged(u):
-    return materialize(dedup.judge_pairs(corpus.pair_jaccard(u, corpus.window_pairs(u, 2, None)), u, PRIORITY))
+    return materialize(dedup.judge_pairs(near.similar_pairs(u, 0.3), u, PRIORITY))
 
 
 def _para_near(d):

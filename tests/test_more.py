@@ -271,3 +271,26 @@ def test_running_total_of_a_hot_key(spark):
     big = spark.range(10).withColumnRenamed("id", "j")
     assert "Broadcast" in stage.lookup(df, big, df.id == big.j)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in stage.lookup(df.hint("merge"), big, df.id == big.j, limit=0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_pairs_take_no_rows_for_unlike_ones(spark, monkeypatch):
+    """All pairs of few and of frequent windows, as plain loops give them, and what the screen lets through stays near that."""
+    import random
+
+    from tessella.operators import corpus, near
+    draw = random.Random(5)
+    make = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz é\n😀") for _ in range(n))
+    notice, near_ones = make(400), make(1500)
+    texts = [make(draw.randrange(2000, 3000)) + notice for _ in range(60)] + [near_ones[:k] + make(80) for k in range(600, 1500, 60)] + [notice + make(60 + k) for k in range(12)] + [None, "", "short", "a" * 500]
+    # The notice lies at multiples of 8, so that all documents share its windows.
+    texts = [make(8 * (len(t) // 8) - len(notice)) + notice if t and t.endswith(notice) else t for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = corpus.pair_jaccard(docs, corpus.window_pairs(docs, 2, None))
+    want = {tuple(r) for r in plain.where("similarity >= 0.3").collect()}
+    seen, screen = [], near._screened
+    monkeypatch.setattr(near, "_screened", lambda pairs, least: seen.append(pairs.count()) or screen(pairs, least))
+    for often, block in ((32, 4096), (3, 7)):
+        monkeypatch.setattr(near, "OFTEN", often)
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert {tuple(r) for r in near.similar_pairs(docs, 0.3).collect()} == want
+    assert len(want) > 100 and plain.count() > len(want) + 1500 and max(seen) < 1.2 * len(want)
