@@ -7,11 +7,14 @@ copies of any size is combined in the map tasks.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..stage import materialize
 from .corpus import sampled_windows
+from .near import ids_of, texts_of
 
 
 def priority(source: Column, order: list[str]) -> Column:
@@ -87,8 +90,6 @@ def greedy_drops(judged: DataFrame) -> DataFrame:
 
 def _groups(pairs: DataFrame) -> DataFrame:
     """Adds ``g``, the least id that a pair is connected with, by passing least ids along the pairs until none changes."""
-    from ..stage import materialize
-
     edges = materialize(pairs)
     label = materialize(edges.select(F.col("loser").alias("id")).unionByName(edges.select(F.col("winner").alias("id"))).distinct().withColumn("g", F.col("id")))
     both = edges.select(F.col("loser").alias("u"), F.col("winner").alias("v")).unionByName(edges.select(F.col("winner").alias("u"), F.col("loser").alias("v")))
@@ -108,13 +109,23 @@ def near_paragraphs(judged: DataFrame, docs: DataFrame, least: float = 0.9, size
     Paragraphs without a window stay. Where several pairs rewrite a document,
     a paragraph stays only if all of them leave it.
     """
-    pairs = judged.where("action = 'paras'").select("loser", "winner")
-    windows = lambda t: T.windows(t, size, step)
-    paras = docs.join(pairs.select(F.col("loser").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(T.paragraphs(F.coalesce("text", F.lit("")))).alias("pos", "para"))
-    mine = paras.select("doc_id", "pos", "para", F.explode_outer(windows(F.col("para"))).alias("w")).withColumn("h", T.key64(F.col("w")))
-    theirs = docs.join(pairs.select(F.col("winner").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("winner"), F.explode(F.array_distinct(windows(F.coalesce("text", F.lit(""))))).alias("w")).select("winner", T.key64(F.col("w")).alias("h"), F.lit(1).alias("hit"))
-    met = mine.join(pairs, mine.doc_id == pairs.loser).drop("loser").join(theirs, ["winner", "h"], "left")
-    return met.groupBy("doc_id", "winner", "pos", "para").agg(F.count("w").alias("n"), F.count("hit").alias("hits")).withColumn("dropped", (F.col("n") > 0) & (F.col("hits") >= least * F.col("n")))
+    pairs = materialize(judged.where("action = 'paras'").select("loser", "winner"))
+    texts = texts_of(docs, ids_of(pairs, "loser", "winner")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # The two texts of a pair meet, as rows for windows would be many times as large; paragraphs are cut before.
+    met = pairs.join(texts.select(F.col("doc_id").alias("loser"), T.paragraphs(F.col("text")).alias("paras")), "loser").join(texts.withColumnRenamed("doc_id", "winner"), "winner").select("loser", "winner", "paras", "text")
+    kinds = "doc_id long, winner long, pos int, para string, n long, hits long"
+
+    def run(batches):
+        cut = lambda t: [t[k:k + size] for k in range(0, len(t) - size + 1, step)]
+        for batch in batches:
+            for row in zip(*batch.columns):
+                loser, winner, paras, text = (v.as_py() for v in row)
+                theirs = set(cut(text))
+                mine = [cut(p) for p in paras]
+                cols = [loser] * len(paras), [winner] * len(paras), range(len(paras)), paras, map(len, mine), [sum(w in theirs for w in ws) for ws in mine]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "winner", "pos", "para", "n", "hits"])
+
+    return met.mapInArrow(run, kinds).withColumn("dropped", (F.col("n") > 0) & (F.col("hits") >= least * F.col("n")))
 
 
 def final_chars(docs: DataFrame, *audits: DataFrame) -> DataFrame:

@@ -294,3 +294,17 @@ def test_similar_pairs_take_no_rows_for_unlike_ones(spark, monkeypatch):
         monkeypatch.setattr(near, "BLOCK", block)
         assert {tuple(r) for r in near.similar_pairs(docs, 0.3).collect()} == want
     assert len(want) > 100 and plain.count() > len(want) + 1500 and max(seen) < 1.2 * len(want)
+
+
+def test_near_paragraphs_count_in_rows(spark):
+    """Repeats count, each pair for itself; no plan has a row for each window."""
+    a, b = "0123456789" * 6, "abcdefghijklmnopqrstuvwxyz" * 2
+    docs = spark.createDataFrame([(1, f"{a}\n\n {b} "), (2, a), (3, None), (4, b + "\n" + "é" * 30 + "\nx")], "doc_id long, text string")
+    judged = spark.createDataFrame([(1, 2, "paras"), (1, 4, "paras"), (4, 3, "paras"), (2, 1, "drop")], "loser long, winner long, action string")
+    out = dedup.near_paragraphs(judged, docs)
+    cut = lambda t: [t[k:k + 24] for k in range(0, len(t) - 23, 4)]
+    text = {1: [a, b], 4: [b, "é" * 30, "x"]}
+    whole = {2: a, 3: "", 4: b + "\n" + "é" * 30 + "\nx"}
+    want = {(d, w, k, len(cut(p)), sum(x in set(cut(whole[w])) for x in cut(p))) for d, w in ((1, 2), (1, 4), (4, 3)) for k, p in enumerate(text[d])}
+    assert set(values(out, "doc_id", "winner", "pos", "n", "hits")) == want
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Generate explode(array(", "")
