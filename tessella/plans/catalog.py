@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, dedup, evaluate, logs, packing
+from ..operators import corpus, dedup, evaluate, logs, near, packing
 from ..sources import readers
 from ..stage import materialize, row_numbers, running_total
 from ..streaming import tail
@@ -151,9 +151,9 @@ def _four_grams(docs):
 
 
 def _losers(docs):
-    kept = corpus.dedup_documents(docs, ["doc_id"]).where("owner = doc_id")
-    scored = corpus.pair_jaccard(kept, corpus.window_pairs(kept, 2, None))
-    return dedup.greedy_drops(dedup.judge_pairs(scored, kept, []))
+    kept = materialize(corpus.dedup_documents(docs.select("doc_id", "source", "text"), ["doc_id"]).where("owner = doc_id").drop("owner"))
+    # All priorities are equal, so only pairs from ``same`` on are dropped.
+    return dedup.greedy_drops(dedup.judge_pairs(near.similar_pairs(kept, 0.99), kept, []))
 
 
 def _stream(spark, sf_dir):

@@ -308,3 +308,16 @@ def test_near_paragraphs_count_in_rows(spark):
     want = {(d, w, k, len(cut(p)), sum(x in set(cut(whole[w])) for x in cut(p))) for d, w in ((1, 2), (1, 4), (4, 3)) for k, p in enumerate(text[d])}
     assert set(values(out, "doc_id", "winner", "pos", "n", "hits")) == want
     assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Generate explode(array(", "")
+
+
+def test_neardup_losers_of_one_priority(spark, tmp_path):
+    import random
+
+    from tessella.plans import catalog
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(6000)) for _ in range(3)]
+    rows = [(1, "src1", texts[0]), (2, "src2", texts[0] + "tail"), (3, "src3", texts[1]), (4, "src1", texts[1][:3000] + texts[2][:3000]), (5, "src5", texts[0]), (6, "src1", None)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["neardup_losers"](spark, str(tmp_path))
+    assert values(out, "loser", "winner") == [(1, 2)]
+    assert 0.99 <= out.first().similarity < 1
