@@ -45,6 +45,14 @@ def test_suffix_dedup_against_brute_force(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_dedup_of_passages_over_50_words_goes_by_their_bytes(spark):
+    long, short = prose(100, 20)[:400], prose(100, 21)[:399]
+    assert min(len(long.split()), len(short.split())) > 50
+    texts = [f"{prose(60, 30 + i)}{i}{p}{i}{prose(60 + 40 * i, 40 + i)}" for i, p in enumerate((long, long, short, short, ""))]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, texts)).collect()}
+    assert got == {0: (400, 1), 1: (400, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+
+
 def test_near_dedup_against_brute_force(spark):
     sets = {}
     for i, t in enumerate(TEXTS):
